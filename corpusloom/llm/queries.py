@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, packing, secrets, simhash
+from . import bpe, langid, packing, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,31 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+ORACLE_SQL["op7_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+ln AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS key,
+              len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT doc_id, source, text, unnest(ls) AS l FROM w)),
+host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+freq AS (SELECT l.source, l.key FROM ln l JOIN host h ON l.source IS NOT DISTINCT FROM h.source
+         GROUP BY l.source, l.key, h.docs HAVING count(DISTINCT l.text) > 30 AND count(DISTINCT l.text) > h.docs * 0.1),
+lft AS (SELECT l.doc_id, sum(CASE WHEN f.key IS NULL THEN l.words ELSE 0 END) AS words FROM ln l LEFT JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key GROUP BY l.doc_id),
+c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lft.words, 0) AS words_left, w.source IN (SELECT source FROM freq) AS marked
+      FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id LEFT JOIN lft ON w.doc_id = lft.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (marked AND (words_left < 10 OR words_left < 0.3 * n_words)) AS kept FROM f
+"""
