@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, packing, quality, secrets, simhash
+from . import bpe, langid, linededup, packing, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,22 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (marked AND (words_left < 10 OR words_left < 0.3 * n_words)) AS kept FROM f
 """
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL["op6_line_dedup"] = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i + 1] AS line, len(ls) AS n,
+             md5(CASE WHEN i > 0 THEN md5(ls[i]) ELSE '' END || md5(ls[i + 1])) AS r FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)),
+b AS (SELECT *, CASE WHEN i > 0 AND i < n - 1 AND r < lag(r) OVER w AND r < lead(r) OVER w THEN 1 ELSE 0 END AS stops FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, coalesce(sum(stops) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+c AS (SELECT doc_id, k, min(i) AS chunk, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, k),
+m AS (SELECT doc_id, k, size > 1 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM c WHERE size > 1),
+o AS (SELECT g.doc_id, string_agg(g.line, chr(10) ORDER BY g.i) FILTER (NOT coalesce(m.gone, false)) AS text, count(*) AS n_lines,
+             count(*) FILTER (coalesce(m.gone, false)) AS n_removed FROM g LEFT JOIN m ON g.doc_id = m.doc_id AND g.k = m.k GROUP BY g.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, o.n_lines, coalesce(o.n_removed, 0) AS n_removed FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
