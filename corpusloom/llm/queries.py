@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, linededup, packing, quality, secrets, simhash
+from . import bpe, html_extract, langid, linededup, packing, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ o AS (SELECT g.doc_id, string_agg(g.line, chr(10) ORDER BY g.i) FILTER (NOT coal
              count(*) FILTER (coalesce(m.gone, false)) AS n_removed FROM g LEFT JOIN m ON g.doc_id = m.doc_id AND g.k = m.k GROUP BY g.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, o.n_lines, coalesce(o.n_removed, 0) AS n_removed FROM d LEFT JOIN o ON d.doc_id = o.doc_id
 """
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
