@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, html_extract, langid, linededup, packing, quality, secrets, simhash, warc
+from . import bpe, html_extract, langid, linededup, packing, quality, secrets, simhash, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body)
 FROM (SELECT *, octet_length(encode(body)) >= 1000 AND page_id <> keeper AS again
       FROM (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages))
 """
+
+
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
