@@ -47,7 +47,7 @@ def repeated_words(ws: Column, size: int = WINDOW) -> Column:
     def of_hashes(hashes: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(hashes))
 
-    windows = let(ws, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size))))
+    windows = let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])))
     return F.when(F.size(ws) < size, F.lit(0).cast("long")).otherwise(let(windows, of_hashes))
 
 
