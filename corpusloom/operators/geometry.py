@@ -87,3 +87,51 @@ def accepted_grids(cells: DataFrame, bounds: DataFrame, keys: tuple[str, ...] =
 
 def announces_table(text: Column) -> Column:
     return text.rlike(CAPTION)
+
+
+# Fixed values for tables that only horizontal rules bound.
+RESOLUTION, NARROWEST, BODY_SHARE, MAX_SPLITS, BAND_SHARE, BAND_FILLED = 2.0, 5.0, 0.8, 10, 0.03, 0.4
+
+
+def bands(rules: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """(keys, low, high): the band between a page's outer horizontal rules; rules has y and the page's height."""
+    found = rules.groupBy(*keys).agg(F.min("y").alias("low"), F.max("y").alias("high"), F.max("height").alias("height"), F.count("*").alias("n"))
+    return found.filter((F.col("n") > 1) & (F.col("high") - F.col("low") >= BAND_SHARE * F.col("height"))).select(*keys, "low", "high")
+
+
+def corridors(lines: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """(keys, split): the middles of vertical gaps that a tenth of the lines cross at most; lines has left, bottom, right, top, width."""
+    slot = lambda c: F.floor(c / RESOLUTION).cast("long")
+    page = lines.groupBy(*keys).agg(
+        F.floor(F.count("*") / 10).alias("allowed"), F.min("left").alias("first"), F.max("right").alias("last"), F.max("width").alias("width"),
+        F.greatest(F.lit(NARROWEST), BODY_SHARE * F.percentile(F.col("top") - F.col("bottom"), 0.5)).alias("least"),
+    )
+    every = page.select(*keys, "allowed", "first", "last", "least", F.explode(F.sequence(F.lit(0).cast("long"), slot(F.col("width")))).alias("slot"))
+    taken = lines.select(*keys, F.explode(F.sequence(slot(F.col("left")), slot(F.col("right")))).alias("slot")).groupBy(*keys, "slot").agg(F.count("*").alias("n"))
+    open_ = every.join(taken, [*keys, "slot"], "left").filter(F.coalesce("n", F.lit(0)) <= F.col("allowed"))
+    own = Window.partitionBy(*keys).orderBy("slot")
+    runs = islands(open_, keys, [F.col("slot")], F.col("slot") - F.lag("slot").over(own) > 1, "run")
+    gaps = runs.groupBy(*keys, "run", "first", "last", "least").agg(F.min("slot").alias("a"), (F.max("slot") + 1).alias("b"))
+    split = (F.col("a") + F.col("b")) / 2 * RESOLUTION
+    fits = ((F.col("b") - F.col("a")) * RESOLUTION >= F.col("least")) & (split > F.col("first")) & (split < F.col("last"))
+    return gaps.filter(fits).select(*keys, split.alias("split"))
+
+
+def band_tables(words_: DataFrame, lines: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """(keys, markdown): tables whose columns are read from where text is absent.
+
+    words_ has text, left, right, top and line (from the top down). A page with a word across a column boundary is
+    prose, and so is one with too few rows, columns or filled cells.
+    """
+    splits = corridors(lines, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("split")).alias("splits")).filter(F.size("splits") <= MAX_SPLITS)
+    at = lambda x: F.size(F.filter("splits", lambda s: s <= F.col(x)))
+    placed = words_.join(splits, list(keys)).withColumn("col", at("left")).withColumn("crosses", at("left") != at("right"))
+    whole = placed.groupBy(*keys).agg(F.max("crosses").alias("crosses"), F.countDistinct("line").alias("rows"), F.countDistinct("line", "col").alias("filled"), F.max(F.size("splits")).alias("n"))
+    good = whole.filter(~F.col("crosses") & (F.col("rows") > 1) & (F.col("filled") >= BAND_FILLED * F.col("rows") * (F.col("n") + 1))).select(*keys, "n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "text"))), lambda x: x["text"]), " ")
+    cells = placed.join(good, list(keys)).groupBy(*keys, "n", "line", "col").agg(text.alias("text"))
+    by_line = cells.groupBy(*keys, "n", "line").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("cells"))
+    row = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n")), lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(""))), " | "), F.lit(" |"))
+    rows = by_line.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("n") + 1))
+    return rows.select(*keys, F.array_join(F.concat(F.slice("rows", 1, 1), F.array(rule), F.slice("rows", 2, F.size("rows"))), "\n").alias("markdown"))

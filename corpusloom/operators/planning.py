@@ -127,3 +127,31 @@ def engine_counters(records: DataFrame) -> DataFrame:
         F.count_if(F.size("failed_engines") > 0).alias("with_failed_engines"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("failed_engines")))).alias("engines"),
         F.coalesce(F.sum("table_rows"), F.lit(0)).alias("table_rows"), F.count_if(F.col("table_rows") > 0).alias("with_tables"),
     )
+
+
+def is_drawing(kind: Column, pages: Column, images: Column) -> Column:
+    return F.coalesce((kind == "pdf") & (pages > 0) & (pages <= 2) & (images > 0), F.lit(False))
+
+
+def engine_order(kind: Column, needs_ocr: Column, drawing: Column) -> Column:
+    """The engines to try, cheapest first; texts and drawings have one, files without text begin with recognition."""
+    names = lambda *engines: F.array(*[F.lit(e) for e in engines])
+    return (
+        F.when(kind.isin("text", "html") | drawing, names("native"))
+        .when(needs_ocr, names("docling-ocr", "native"))
+        .when(kind == "pdf", names("native", "hibrido", "docling"))
+        .otherwise(names("native", "docling"))
+    )
+
+
+def page_ranges(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The page rows (doc_id, page, ...) of each chapter, with its number."""
+    inside = (F.col("page") >= F.col("first_page")) & (F.col("page") <= F.col("last_page"))
+    return pages.join(chapters.select("doc_id", "chapter", "first_page", "last_page"), "doc_id").filter(inside).drop("first_page", "last_page")
+
+
+def page_summary(pages: DataFrame, blank: int = 20) -> DataFrame:
+    """(doc_id, pages, pages_without_text, needs_ocr, images, text) from (doc_id, page, text, images)."""
+    bare = F.length(F.regexp_replace("text", r"\s", "")) < blank
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(bare).alias("pages_without_text"), (F.count_if(bare) > 0).alias("needs_ocr"), F.sum("images").alias("images"), text.alias("text"))

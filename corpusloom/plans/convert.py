@@ -46,3 +46,16 @@ def index_lines(records: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     row = F.concat(F.lit("| "), T.escape_cell(name), F.lit(" | "), F.col("status"), F.lit(" | "), T.percent(F.col("coverage")), F.lit(" | "), T.file_size(F.col("size")), F.lit(" |"))
     return records.select(folder.alias("folder"), F.lower(name).alias("name"), row.alias("line"), (~F.col("ok")).alias("attention"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")).orderBy("folder", "name")
+
+
+def folder_indexes(records: DataFrame) -> DataFrame:
+    """(folder, text): one Markdown index for each folder, files in order of name."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("name", "line"))), lambda x: x["line"])
+    head = F.lit("| Document | Status | Coverage | Size |\n|---|---|---|---|\n")
+    return index_lines(records).groupBy("folder").agg(F.concat(head, F.array_join(rows, "\n"), F.lit("\n")).alias("text"))
+
+
+def write_markdown(records: DataFrame, target: str) -> None:
+    """The converted documents as Parquet, by folder of the source; a commit log is the table itself."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    records.withColumn("folder", folder).write.mode("overwrite").partitionBy("kind").parquet(target)

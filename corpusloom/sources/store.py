@@ -104,8 +104,10 @@ def generate_signing_key(spark: SparkSession) -> tuple[str, str]:
     """(private, public) Ed25519 keys, base64."""
     import base64
 
-    pair = spark._jvm.java.security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
-    return tuple(base64.b64encode(bytes(k.getEncoded())).decode() for k in (pair.getPrivate(), pair.getPublic()))
+    jvm = spark._jvm
+    pair, factory = jvm.java.security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair(), jvm.java.security.KeyFactory.getInstance("Ed25519")
+    kinds = ((pair.getPrivate(), "PKCS8EncodedKeySpec"), (pair.getPublic(), "X509EncodedKeySpec"))  # the keys' own classes aren't public
+    return tuple(base64.b64encode(bytes(factory.getKeySpec(k, jvm.java.lang.Class.forName(f"java.security.spec.{spec}")).getEncoded())).decode() for k, spec in kinds)
 
 
 def _signature(spark: SparkSession, digest: str, private: str) -> str:

@@ -203,3 +203,44 @@ def test_rank_fusion_ignores_payload_order(spark):
     random.Random(1).shuffle(rows)
     found = fuse.fuse(spark.createDataFrame(rows, "list_id int, place int, key string"), ("key",)).orderBy("position").collect()
     assert [r["key"] for r in found] == ["b", "a", "c"] and found[0]["score"] == round(1 / 62 + 1 / 61, 9)
+
+
+def test_table_in_a_band(spark):
+    rows = [(1, 1, k, w, x, x + 30.0, 100.0 - 12 * k) for k in range(4) for w, x in ((f"name{k}", 10.0), (f"{k}", 120.0))]
+    words = spark.createDataFrame(rows, "doc_id int, page int, line int, text string, left double, right double, top double")
+    boxes = words.selectExpr("doc_id", "page", "left", "right", "top - 10 AS bottom", "top", "200.0 AS width")
+    found = geometry.band_tables(words, boxes).first()["markdown"]
+    assert found.split("\n")[:3] == ["| name0 | 0 |", "|---|---|", "| name1 | 1 |"]
+    prose = words.withColumn("right", F.when(F.col("left") < 50, 125.0).otherwise(F.col("right")))
+    assert geometry.band_tables(prose, boxes).count() == 0
+    rules = spark.createDataFrame([(1, 1, 100.0, 800.0), (1, 1, 400.0, 800.0), (1, 2, 100.0, 800.0), (1, 2, 110.0, 800.0)], "doc_id int, page int, y double, height double")
+    assert [(r["page"], r["low"], r["high"]) for r in geometry.bands(rules).collect()] == [(1, 100.0, 400.0)]
+
+
+def test_encoding(spark):
+    import numpy as np
+
+    from corpusloom.operators import encode
+
+    for lengths in ([10] * 500 + [2000], [90_000], [5] * 5000):
+        made = list(encode.batches(lengths))
+        assert sorted(i for b in made for i in b) == list(range(len(lengths)))
+        assert all(len(b) == 1 or len(b) * max(lengths[i] for i in b) <= encode.BUDGET and len(b) <= encode.MAX_ROWS for b in made)
+    make = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
+    parts = spark.createDataFrame([(1, "aaa"), (2, "b")], "passage_id long, text string")
+    first = encode.encode_incrementally(parts, None, make, "m").cache()
+    assert abs(first.filter("passage_id = 1").first()["vector"][0] - 3 / 10**0.5) < 1e-6
+    again = encode.encode_incrementally(parts.union(spark.createDataFrame([(3, "aaa")], parts.schema)), first, make, "m", "m")
+    assert again.count() == 3
+
+
+def test_planning_rules(spark):
+    row = spark.range(1).select(
+        planning.engine_order(F.lit("pdf"), F.lit(True), F.lit(False)).alias("scan"), planning.engine_order(F.lit("pdf"), F.lit(False), planning.is_drawing(F.lit("pdf"), F.lit(1), F.lit(2))).alias("drawing"),
+        planning.slug(F.lit(3), F.lit(' a/b: "c" '), F.lit(1), F.lit(9)).alias("slug"), planning.slug(F.lit(3), F.lit("??"), F.lit(1), F.lit(9)).alias("bare"),
+    ).first()
+    assert row["scan"] == ["docling-ocr", "native"] and row["drawing"] == ["native"] and row["slug"] == "03 - a b c" and row["bare"] == "03 - Paginas 1-9"
+    pages = spark.createDataFrame([(1, 1, "x" * 30, 0), (1, 2, " a ", 1)], "doc_id int, page int, text string, images int")
+    assert planning.page_summary(pages).first()["needs_ocr"]
+    chapters = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 2, 5)], "doc_id int, chapter int, first_page int, last_page int")
+    assert [(r["page"], r["chapter"]) for r in planning.page_ranges(pages, chapters).orderBy("page").collect()] == [(1, 1), (2, 2)]
