@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +34,33 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch, so that a Python worker's memory doesn't grow with the length of texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)([kmgtp]?)", spark.conf.get(key, "64m").lower()).groups()
+    if int(number) << 10 * (" kmgtp".index(unit or " ")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def release_memory() -> None:
+    """Give a Python worker's free memory back, so that it doesn't hold its peak while other stages run."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: short lineage, safe against lost executors."""
     path = shared_path(df.sparkSession, label)
@@ -50,5 +79,10 @@ def drop_staged(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+#: Rows of a few longs that may be broadcast (about 100 MB in memory).
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count finds it small; a larger one is left to a shuffled join. For staged, narrow tables."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

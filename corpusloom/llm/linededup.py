@@ -12,7 +12,7 @@ first occurrence, by (doc_id, chunk). The first occurrence stays.
 Passes: (1) hashes only: which chunk hashes occur twice or more, and where
 first; (2) texts of those chunks only, compared with the first occurrence's;
 (3) removal. Tables that decide whether a text must be shuffled are staged and
-counted: under `BROADCAST_ROWS` rows they are broadcast, beyond they are joined
+counted: under common.BROADCAST_ROWS rows they are broadcast, beyond they are joined
 by shuffle, where the engine splits hot keys.
 
 Rows: null text stays null. Rows that repeat an id with one text are one
@@ -26,12 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sized_broadcast, staged
 from .native import let, lines
 
-#: Rows of two longs that may be broadcast (about 100 MB in memory).
-BROADCAST_ROWS = 1_000_000
-
 
 def chunks(text: Column) -> Column:
     """array<struct<start, size>> of a text's chunks of lines, in order; start counts lines from 0."""
@@ -59,17 +56,13 @@ def multi_line_chunks(text: Column) -> Column:
     return let(lines(text), found)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk): the chunks to remove, by their first line."""
     named = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = named.select("doc_id", F.explode(multi_line_chunks(F.col("text"))).alias("c")).select("doc_id", "c.chunk", F.xxhash64("c.body").alias("hash"), "c.body")
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.max(F.struct("doc_id", "chunk")).alias("last"))
     first = staged(first.filter("first != last").select("hash", F.col("first.doc_id").alias("first_id"), F.col("first.chunk").alias("first_chunk")), "first")
-    seen = staged(found.join(_small(first), "hash"), "seen")
+    seen = staged(found.join(sized_broadcast(first), "hash"), "seen")
     own = seen.filter("doc_id = first_id AND chunk = first_chunk").select("hash", F.col("body").alias("first_body")).distinct()
     own = staged(own, "own")
     later = seen.filter("doc_id != first_id OR chunk != first_chunk").select("doc_id", "chunk", "hash", "body")
@@ -80,7 +73,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with repeated chunks taken out of the text, and two columns more, n_lines and n_removed."""
     marks = repeats(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("chunk").alias("_gone"))
     marks = staged(marks.withColumnRenamed("doc_id", "_id"), "marks")
-    found = docs.join(_small(marks), F.col(id_col) == F.col("_id"), "left")
+    found = docs.join(sized_broadcast(marks), F.col(id_col) == F.col("_id"), "left")
     text = F.col(text_col)
 
     def rest(ls: Column) -> Column:
@@ -89,5 +82,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     left = F.when(F.col("_gone").isNull(), lines(text)).otherwise(let(lines(text), rest))
     out = let(left, lambda ls: F.struct(F.array_join(ls, "\n").alias("text"), F.size(ls).cast("long").alias("n")))
-    result = found.withColumn("_out", out).withColumn("n_lines", F.size(lines(text)).cast("long")).withColumn("n_removed", F.col("n_lines") - F.col("_out.n"))
+    result = found.withColumn("_out", out).withColumn("n_lines", F.coalesce(F.size(lines(text)), F.lit(0)).cast("long"))
+    result = result.withColumn("n_removed", F.col("n_lines") - F.coalesce("_out.n", F.lit(0)))
     return result.withColumn(text_col, F.when(text.isNotNull(), F.col("_out.text"))).drop("_id", "_gone", "_out")

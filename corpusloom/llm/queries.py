@@ -93,7 +93,7 @@ c AS (SELECT doc_id, k, min(i) AS chunk, count(*) AS size, string_agg(line, chr(
 m AS (SELECT doc_id, k, size > 1 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM c WHERE size > 1),
 o AS (SELECT g.doc_id, string_agg(g.line, chr(10) ORDER BY g.i) FILTER (NOT coalesce(m.gone, false)) AS text, count(*) AS n_lines,
              count(*) FILTER (coalesce(m.gone, false)) AS n_removed FROM g LEFT JOIN m ON g.doc_id = m.doc_id AND g.k = m.k GROUP BY g.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, o.n_lines, coalesce(o.n_removed, 0) AS n_removed FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_removed, 0) AS n_removed FROM d LEFT JOIN o ON d.doc_id = o.doc_id
 """
 
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Code points around a span in which the other parts of its credential may stand.
 SCOPE = 160
 
@@ -130,6 +132,7 @@ def redact(text: Column, mask: str = "[redacted]", scope: int = SCOPE) -> Column
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([None if t is None else redacted(t, mask, scope) for t in batch], dtype=object)
+        release_memory()
 
     return run(text)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release_memory, sized_broadcast, staged
 from .components import components, local_roots
 
 BUDGET, BLOCKS, SHINGLE, SEED = 3, 4, 3, 42
@@ -60,6 +60,7 @@ def fingerprints(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
+        release_memory()
 
     return run(text)
 
@@ -173,8 +174,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat an id within the kept ones are one document; one of them stays.
     """
     found = staged(near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id"), "found")
-    gone = found.filter("_id != component_id").select("_id").distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    gone = staged(found.filter("_id != component_id").select("_id").distinct(), "gone")
+    kept = docs.join(sized_broadcast(gone), F.col(id_col) == F.col("_id"), "left_anti")
     repeated = found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
     if repeated.isEmpty():
         return kept
