@@ -44,13 +44,18 @@ def byte_characters() -> dict[int, str]:
 
 
 class OffsetTable:
-    """Byte strings by id; gathers the concatenation for an array of ids."""
-
-    def __init__(self, strings: list[bytes]):
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.size = sizes
-        self.blob = np.frombuffer(b"".join(strings), np.uint8)
+    """Strings of items (bytes, or numbers of a given type) by id; gathers the concatenation for an array of ids."""
+
+    def __init__(self, strings: list[bytes], dtype: str = "u1"):
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings)) // np.dtype(dtype).itemsize
+        self.start = np.cumsum(self.size) - self.size
+        self.blob = np.frombuffer(b"".join(strings), dtype)
+
+    @classmethod
+    def of(cls, start: np.ndarray, size: np.ndarray, blob: np.ndarray) -> OffsetTable:
+        made = cls.__new__(cls)
+        made.start, made.size, made.blob = start, size, blob
+        return made
 
     def gather(self, ids: np.ndarray, step: int = 1 << 18) -> Iterator[bytes]:
         for k in range(0, len(ids), step):

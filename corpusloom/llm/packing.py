@@ -24,7 +24,7 @@ gives an empty result. Columns other than id and text are ignored.
 from __future__ import annotations
 
 import os
-import unicodedata
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -32,21 +32,33 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .bpe import OffsetTable, byte_characters
+from .common import bounded_batches, release_memory, staged
 from .pretokens import is_plain, plain_words
 
 CAPACITY = 2048
 #: Pieces of one length in one shard, on average, at most.
 SHARD_ROWS = 1_000_000
 MIN_SHARDS = 64
-CACHE_SIZE = 400_000
+#: Chunks whose ids a worker keeps; later ones are encoded each time they occur.
+CACHE_SIZE = 100_000
+#: Characters of the texts that are split together.
+GROUP_CHARS = 8_000_000
 
 
 class WordIds:
-    """Ids of whole texts by the library, with the words of plain texts kept."""
+    """Ids of whole texts by the library.
+
+    No token of the vocabulary spans white space, so plain texts are split there,
+    a group of texts at a time, and each distinct chunk is encoded once: its
+    words go straight to the library's model, or come from those that are kept.
+    Other texts go through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,24 +67,81 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.shown = {b: ord(c) for b, c in byte_characters().items()}
+        self.packers = [struct.Struct(f"<{n}I") for n in range(64)]
+        self.kept: dict[str, bytes] = {}
+        self.known, self.known_ids = pa.array([], pa.large_string()), OffsetTable([], "<u4")
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self._library(word)
-        if len(self.cache) < CACHE_SIZE and len(word) <= 64:
-            self.cache[word] = found
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return self.packers[len(ids)].pack(*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+    def _part(self, word: str) -> bytes:
+        found = self.kept.get(word)
+        if found is None:
+            found = self._word(word)
+            if len(self.kept) < CACHE_SIZE // 4 and len(word) <= 64:
+                self.kept[word] = found
         return found
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids. Words of plain texts are independent of each other; other texts go to the library whole."""
-        if not is_plain(text) or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
-            return self._library(text)
-        get, word = self.cache.get, self._word
-        return b"".join([get(w) or word(w) for w in plain_words(text)])
+    def _chunk(self, chunk: str) -> bytes:
+        return self._word(chunk) if chunk.isalpha() else b"".join([self._part(w) for w in plain_words(chunk)])
+
+    def _ids_of(self, chunks: pa.Array) -> OffsetTable:
+        """The ids of distinct chunks: looked up among the known ones, else encoded; the first new ones become known."""
+        at = pc.index_in(chunks, value_set=self.known)
+        new = chunks.filter(at.is_null())
+        encoded = OffsetTable([self._chunk(c) for c in new.to_numpy(zero_copy_only=False).tolist()], "<u4")
+        row = at.fill_null(-1).to_numpy().astype(np.int64)
+        row[row < 0] = len(self.known) + np.arange(len(new))
+        size = np.concatenate([self.known_ids.size, encoded.size])
+        start = np.concatenate([self.known_ids.start, encoded.start + len(self.known_ids.blob)])
+        every = OffsetTable.of(start, size, np.concatenate([self.known_ids.blob, encoded.blob]))
+        if room := CACHE_SIZE - len(self.known):
+            self.known = pa.concat_arrays([self.known, new[:room]])
+            n = len(self.known)
+            self.known_ids = OffsetTable.of(start[:n], size[:n], every.blob[: int(start[n - 1] + size[n - 1])] if n else every.blob[:0])
+        return OffsetTable.of(start[row], size[row], every.blob)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        lower = pa.array([t.lower() for t in texts], pa.large_string())
+        # A lone sign between a letter and white space is a match of its own; apart, it leaves fewer distinct chunks.
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, r"(\pL)([.,])(\s)", r"\1 \2\3"))
+        coded = chunks.values.dictionary_encode()
+        table = self._ids_of(coded.dictionary)
+        which = coded.indices.to_numpy()
+        ends = 4 * np.concatenate([[0], np.cumsum(table.size[which])])[chunks.offsets.to_numpy()]
+        whole = b"".join(table.gather(which))
+        return [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        group: list[str] = []
+        turns: list[bytes | None] = []
+        size = 0
+
+        def flush() -> Iterator[bytes]:
+            plain = iter(self._plain(group) if group else ())
+            for t in turns:
+                yield next(plain) if t is None else t
+
+        for text in texts:
+            if is_plain(text) and not any(s in text for s in self.special):
+                group.append(text)
+                turns.append(None)
+            else:
+                turns.append(self._library(text))
+            size += len(text)
+            if size > GROUP_CHARS:
+                yield from flush()
+                group, turns, size = [], [], 0
+        yield from flush()
 
 
 @lru_cache(maxsize=2)
@@ -91,11 +160,12 @@ def cut(text: Column, path: str, capacity: int = CAPACITY, end_id: int = 0) -> C
         ids, end = _word_ids(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for t in batch:
-                raw = ids.encode(t or "") + end
+            for raw in ids.encode_all([t or "" for t in batch]):
+                raw += end
                 parts = [raw[k : k + 4 * capacity] for k in range(0, len(raw), 4 * capacity)]
                 out.append([(k, k * capacity, len(p) // 4, zlib.crc32(p)) for k, p in enumerate(parts)])
             yield pd.Series(out, dtype=object)
+        release_memory()
 
     return run(text)
 
@@ -150,6 +220,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    bounded_batches(docs.sparkSession)
     cut_docs = docs.select(F.col(id_col).alias("doc_id"), cut(F.col(text_col), path, capacity, end_id).alias("pieces"))
     return cut_docs.select("doc_id", F.inline("pieces"))
 

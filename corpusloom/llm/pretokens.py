@@ -33,5 +33,5 @@ def byte_level(text: str) -> list[str]:
 
 
 def plain_words(text: str) -> list[str]:
-    """The lower-cased words of a plain text."""
-    return _WORD_PLAIN.findall(text.lower())
+    """The words of a plain text that is in lower case."""
+    return _WORD_PLAIN.findall(text)
