@@ -181,7 +181,10 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                     out["payload"] = None
                 yield out
 
-    return ranges(index).select("file", "start", "end", "records").mapInPandas(fetch, RECORD)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges are small rows that stand for much reading; a fixed number of partitions keeps them from being put together.
+    dealt = ranges(index).select("file", "start", "end", "records").repartition(parts, "file", "start")
+    return dealt.mapInPandas(fetch, RECORD)
 
 
 def resolve(index: DataFrame, payload_index: DataFrame) -> DataFrame:
