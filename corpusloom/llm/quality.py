@@ -95,22 +95,28 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, line_docs: int
     return above.groupBy("host").agg(F.collect_list("key").alias("frequent"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """docs with one more column, `quality`: counts, base_failed, kept and the frequent lines' keys."""
-    hosts = staged(frequent_lines(docs, text_col, host_col, line_docs, line_share), "hosts").toDF("_host", "_frequent")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    left = F.when(F.col("_frequent").isNull(), F.lit(None).cast("long")).otherwise(
-        total(F.transform(F.filter(keyed_lines(text), lambda e: ~F.array_contains(F.col("_frequent"), e["key"])), lambda e: e["words"]))
-    )
+def _verdict(text: Column, keep_share: float) -> Column:
+    """The counts and verdicts of a row that has _frequent, the keys of its host's lines above the limits (null: none)."""
+    left = total(F.transform(F.filter(keyed_lines(text), lambda e: ~F.array_contains(F.col("_frequent"), e["key"])), lambda e: e["words"]))
+    left = F.when(F.col("_frequent").isNotNull(), left)
 
     def verdict(c: Column) -> Column:
         failed = base_failed(c)
-        depleted = F.col("_left").isNotNull() & ((F.col("_left") < MIN_WORDS) | (F.col("_left") < keep_share * c["n_words"]))
-        return F.struct(*[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.col("_frequent").alias("frequent"))
+        depleted = let(left, lambda n: F.coalesce((n < MIN_WORDS) | (n < keep_share * c["n_words"]), F.lit(False)))
+        return F.struct(*[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+
+    return let(base_counts(text), verdict)
+
 
-    judged = found.withColumn("_left", left).withColumn("quality", let(base_counts(text), verdict))
-    return judged.drop("_host", "_frequent", "_left")
+def _with_frequent(docs: DataFrame, text_col: str, host_col: str, line_docs: int, line_share: float) -> DataFrame:
+    hosts = staged(frequent_lines(docs, text_col, host_col, line_docs, line_share), "hosts").toDF("_host", "_frequent")
+    return docs.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
+
+
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """docs with one more column, `quality`: counts, base_failed and kept."""
+    found = _with_frequent(docs, text_col, host_col, line_docs, line_share)
+    return found.withColumn("quality", _verdict(F.coalesce(F.col(text_col), F.lit("")), keep_share)).drop("_frequent")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -120,9 +126,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return judge(plain).select("doc_id", *[F.col(f"quality.{k}") for k in names])
 
 
-def filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
     """The kept rows with docs' own columns; lines above the limits are taken out of their texts."""
-    judged = judge(docs, text_col, host_col).filter("quality.kept")
-    frequent = F.col("quality.frequent")
-    rest = F.array_join(F.filter(lines(F.col(text_col)), lambda line: ~(line.rlike(WORD_START) & F.array_contains(frequent, line_key(line)))), "\n")
-    return judged.withColumn(text_col, F.when(frequent.isNull(), F.col(text_col)).otherwise(rest)).drop("quality")
+    found = _with_frequent(docs, text_col, host_col, line_docs, line_share)
+    kept = found.filter(_verdict(F.coalesce(F.col(text_col), F.lit("")), keep_share)["kept"])
+    rest = F.array_join(F.filter(lines(F.col(text_col)), lambda line: ~(line.rlike(WORD_START) & F.array_contains("_frequent", line_key(line)))), "\n")
+    return kept.withColumn(text_col, F.when(F.col("_frequent").isNull(), F.col(text_col)).otherwise(rest)).drop("_frequent")
