@@ -167,7 +167,7 @@ def cut(text: Column, path: str, capacity: int = CAPACITY, end_id: int = 0) -> C
             yield pd.Series(out, dtype=object)
         release_memory()
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter inferred from the explode runs it a second time
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
