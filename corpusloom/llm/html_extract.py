@@ -208,12 +208,14 @@ def host_of(url: Column) -> Column:
 
 
 def _votes(page: Column) -> Column:
-    @F.pandas_udf("path string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The page's vote, or none."""
+
+    @F.pandas_udf("array<struct<path:string,score:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.DataFrame([best_path(blocks(p or "")) for p in batch], columns=["path", "score"])
+            yield pd.Series([[vote] if (vote := best_path(blocks(p or "")))[0] is not None else [] for p in batch], dtype=object)
 
-    return run(page)
+    return run.asNondeterministic()(page)  # else a filter inferred from the explode runs it a second time
 
 
 def _extracted(page: Column, path: Column) -> Column:
@@ -227,7 +229,7 @@ def _extracted(page: Column, path: Column) -> Column:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path): the path with the most votes of each host; of equal ones the first by name."""
-    votes = pages.select(host_of(F.col(url_col)).alias("host"), _votes(F.col(html_col)).alias("v")).select("host", "v.*").filter("path IS NOT NULL")
+    votes = pages.select(host_of(F.col(url_col)).alias("host"), _votes(F.col(html_col)).alias("v")).select("host", F.inline("v"))
     tally = votes.groupBy("host", "path").agg(F.sum(F.round("score").cast("long")).alias("score"))
     return tally.groupBy("host").agg(F.min_by("path", F.struct((-F.col("score")).alias("s"), F.col("path"))).alias("path"))
 
