@@ -36,10 +36,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
-IDENT = re.compile(r"""(?i:\b(?:user(?:_?name)?|login|account|client_?id|(?:access_?)?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""", re.A)
-WEAK_ASSIGN = re.compile(r"""(?i:\b(?:pwd|pass|passphrase|auth|bearer|credential|signature|private_?key|access_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})""", re.A)
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?i:\b(?:endpoint|host(?:name)?|server|bucket))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""", re.A)
+# Names may have a prefix before '_', as in environment files (DB_USER, AWS_SECRET_ACCESS_KEY).
+IDENT = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:user(?:_?name)?|login|account(?:_?name)?|client_?id|(?:access_?)?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""", re.A)
+WEAK_ASSIGN = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pwd|pass|passphrase|auth|bearer|credential|signature|private_?key|access_?key|account_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})""", re.A)
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?i:(?<![A-Za-z0-9])(?:endpoint|host(?:name)?|server|bucket))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""", re.A)
 
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 RANK = {k: i for i, k in enumerate(KINDS)}
