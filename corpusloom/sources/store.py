@@ -82,7 +82,7 @@ def describe(package: dict[str, DataFrame]) -> DataFrame:
 def document(package: dict[str, DataFrame], name: str) -> DataFrame:
     """(doc_id, text) of the documents of this name or pseudopath."""
     wanted = package["document"].filter((F.col("name") == name) | (F.col("pseudopath") == name)).select("doc_id")
-    return joined(package["passage"].join(F.broadcast(wanted.limit(1000)), "doc_id"))
+    return joined(package["passage"].join(wanted, "doc_id", "left_semi"))
 
 
 # --- bundles ----------------------------------------------------------------------------------

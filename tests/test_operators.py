@@ -96,6 +96,13 @@ def test_folder_and_package(spark, tmp_path):
     assert store.describe(package).first()["documents"] == 2 and store.document(package, "é").first()["text"] == "leaf\n"
 
 
+def test_document_returns_every_one_of_a_name(spark):
+    docs = spark.range(2500).selectExpr("id AS doc_id", "IF(id < 1500, 'README', 'other') AS name", "concat('@/Sent/', id, '/x.md') AS pseudopath")
+    package = {"document": docs, "passage": spark.range(2500).selectExpr("id AS doc_id", "0 AS position", "concat('text ', id) AS text")}
+    assert {(r["doc_id"], r["text"]) for r in store.document(package, "README").collect()} == {(k, f"text {k}\n") for k in range(1500)}
+    assert store.document(package, "@/Sent/7/x.md").count() == 1
+
+
 def _compare(spark, reference, markdown):
     return verify.compare(spark.createDataFrame([(1, reference, markdown)], "doc_id long, reference string, markdown string")).first()
 
