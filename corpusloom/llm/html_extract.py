@@ -4,8 +4,9 @@ Three steps. Every page is parsed and its containers are scored by the running
 text that they hold; the best container votes, with its score, for its path:
 tags and classes from the body down, with digits generalised. Votes are summed
 per host and path, and each host's winner is staged. Then every page is parsed
-again and its text is taken from the containers on the host's winning path; a
-page without such a container uses its own best one.
+again and its text is taken from the containers on the host's winning path,
+widened to the ancestor that holds headings or text beside them; a page without
+such a container uses its own best one.
 
 Boilerplate subtrees (navigation, advertising, forms, comments and so on, told
 by tag, role or class words) neither score nor appear in the text.
@@ -22,6 +23,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,17 +50,31 @@ DROPPED_WORDS = frozenset(
 )
 DROPPED_NAMES = frozenset("header site-header page-header siteheader pageheader top-header topbar".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | frozenset("p pre blockquote li td dd dt".split())
+
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Block(NamedTuple):
+    text: str
+    paths: list[str]  # of its containers from the body down
+    article: str  # the outermost article's path
+    linked: int  # characters in links
+    elements: list[_Open]  # its containers
+
+
 class _Open:
-    __slots__ = ("tag", "path", "dropped", "article")
+    """An element: its container path, its parent and why it may be boilerplate."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, article: str | None):
-        self.tag, self.path, self.dropped, self.article = tag, path, dropped, article
+    __slots__ = ("tag", "path", "above", "order", "main", "hard", "words")
+
+    def __init__(self, tag: str, path: str, above: _Open | None, order: int, main: bool = False, hard: bool = False, words: frozenset = frozenset()):
+        self.tag, self.path, self.above, self.order = tag, path, above, order
+        self.main, self.hard, self.words = main, hard, words  # article or main; dropped by tag or role; marks among the class words
 
 
 def _raw_end(name: str, text: str, at: int) -> int:
@@ -66,21 +82,31 @@ def _raw_end(name: str, text: str, at: int) -> int:
     return m.end() if m else len(text)
 
 
-def blocks(page: str) -> list[tuple[str, list[str], str, int]]:
-    """The page's text blocks in order: text, paths of its containers from the body down, outermost article's path, characters in links."""
-    out: list[tuple[str, list[str], str, int]] = []
-    stack = [_Open("body", "", False, None)]
+def _marks(names: str) -> frozenset[str]:
+    """The boilerplate words of class and id names."""
+    return DROPPED_WORDS.intersection(_WORDS.findall(names)) | DROPPED_NAMES.intersection(names.split())
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's text blocks that aren't boilerplate, in order."""
+    return _kept(*_parsed(page))
+
+
+def _parsed(page: str) -> tuple[list[tuple[str, list[_Open], int]], list[_Open]]:
+    """(text, elements from the body down, characters in links) of each text block, and the elements, both in order."""
+    out: list[tuple[str, list[_Open], int]] = []
+    stack = [_Open("body", "", None, 0)]
+    elements = stack[:]
     buffer: list[tuple[str, bool]] = []
     in_link, at, n = False, 0, len(page)
 
     def flush() -> None:
         if buffer:
-            top = stack[-1]
-            if not top.dropped:
+            if not stack[-1].hard:
                 text = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in buffer))).strip()
                 if text:
                     linked = sum(len(t.strip()) for t, link in buffer if link)
-                    out.append((text, [e.path for e in stack], top.article or "", linked))
+                    out.append((text, stack[:], linked))
             buffer.clear()
 
     def pop_to(k: int) -> None:
@@ -131,8 +157,9 @@ def blocks(page: str) -> list[tuple[str, list[str], str, int]]:
             continue
         named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs and "=" in attrs else {}
         names = f"{named.get('class', '')} {named.get('id', '')}".lower()
-        marked = named.get("role", "").lower() in DROPPED_ROLES or (names != " " and (not DROPPED_WORDS.isdisjoint(_WORDS.findall(names)) or not DROPPED_NAMES.isdisjoint(names.split())))
-        if tag not in BLOCK and not (marked or tag in DROPPED):
+        role = named.get("role", "").lower()
+        marks = _marks(names) if names != " " else frozenset()
+        if tag not in BLOCK and not (marks or role in DROPPED_ROLES or tag in DROPPED):
             if tag == "a":
                 in_link = True
             continue
@@ -155,51 +182,100 @@ def blocks(page: str) -> list[tuple[str, list[str], str, int]]:
         above = stack[-1]
         classes = ".".join(sorted(re.sub(r"\d+", "#", named.get("class", "").lower()).split()))
         path = f"{above.path}/{tag}" + (f".{classes}" if classes else "")
-        dropped = above.dropped or marked or tag in DROPPED or tag == "header" and above.article is None
-        article = above.article
-        if article is None and not dropped and (tag in ("article", "main") or named.get("role", "").lower() in ("main", "article")):
-            article = path
         if tag != "p":
             in_link = False
-        stack.append(_Open(tag, path, dropped, article))
+        main = tag in ("article", "main") or role in ("main", "article")
+        stack.append(_Open(tag, path, above, len(elements), main, above.hard or role in DROPPED_ROLES or tag in DROPPED, marks))
+        elements.append(stack[-1])
     flush()
-    return out
+    return out, elements
+
+
+def _kept(found: list[tuple[str, list[_Open], int]], elements: list[_Open]) -> list[Block]:
+    dropped, article = [False] * len(elements), [""] * len(elements)
+    for e in elements[1:]:
+        above = e.above.order
+        dropped[e.order] = dropped[above] or e.hard or bool(e.words) or e.tag == "header" and not article[above]
+        article[e.order] = article[above] or (e.path if e.main and not dropped[e.order] else "")
+    return [Block(text, [e.path for e in inside], article[inside[-1].order], linked, inside) for text, inside, linked in found if not dropped[inside[-1].order]]
 
 
-def scores(page_blocks: list[tuple[str, list[str], str, int]]) -> dict[str, float]:
+def _holder(b: Block) -> int:
+    """The place, among its containers, of the one that holds a block: above its own paragraph, item or heading."""
+    return len(b.paths) - 2 if b.elements[-1].tag in LEAVES else len(b.paths) - 1
+
+
+def scores(page_blocks: list[Block]) -> dict[str, float]:
     """Containers by path: a block's running text counts in full for the container that holds it and by half for the next one.
 
     Inside an article or main element, its outermost one gets all.
     """
     total: dict[str, float] = defaultdict(float)
-    for text, paths, article, linked in page_blocks:
-        worth = max(0, len(text) - linked)
-        leaf = paths[-1].rsplit("/", 1)[-1].partition(".")[0]
-        holder = len(paths) - 2 if leaf in ("p", "pre", "blockquote", "li", "td", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6") and len(paths) > 1 else len(paths) - 1
-        if article:
-            total[article] += 2 * worth
+    for b in page_blocks:
+        worth = max(0, len(b.text) - b.linked)
+        holder = _holder(b)
+        if b.article:
+            total[b.article] += 2 * worth
         else:
-            total[paths[holder]] += worth
+            total[b.paths[holder]] += worth
             if holder:
-                total[paths[holder - 1]] += worth / 2
+                total[b.paths[holder - 1]] += worth / 2
     return total
 
 
-def best_path(page_blocks: list[tuple[str, list[str], str, int]]) -> tuple[str | None, float]:
+def best_path(page_blocks: list[Block]) -> tuple[str | None, float]:
     total = scores(page_blocks)
     return max(((p, s) for p, s in total.items() if s > 0), key=lambda x: (x[1], x[0]), default=(None, 0.0))
 
 
-def text_on_path(page_blocks: list[tuple[str, list[str], str, int]], path: str | None) -> str:
-    return "\n\n".join(text for text, paths, _, _ in page_blocks if path in paths) if path is not None else ""
+def text_on_path(page_blocks: list[Block], path: str | None) -> tuple[str, str]:
+    """The text of the containers on a path, widened, and the path that it was taken from.
+
+    Outside an article, each container is widened to its outermost ancestor that holds text of its own beside it: a
+    heading or a paragraph that isn't mostly links, another section beside a section, or, below the body, the first
+    heading if it has none. If what that adds is mostly links, only its headings and running text are added.
+    """
+    inside = [b for b in page_blocks if path in b.paths] if path is not None else []
+    if not inside or path == "" or any(b.article for b in inside):
+        return "\n\n".join(b.text for b in inside), path or ""
+    at = inside[0].paths.index(path)
+    own = {id(b) for b in inside}
+    within = [{b.elements[k] for b in inside} for k in range(at + 1)]  # by depth, the elements that hold the path's containers
+    titled = any(_level(b) == 1 for b in inside)
+    widest = at
+    for b in page_blocks:
+        if id(b) in own or not _is_prose(b):
+            continue
+        shared = max(k for k in range(min(at + 1, len(b.elements))) if b.elements[k] in within[k])
+        if shared >= widest:
+            continue
+        sections = [e.tag for e in (*b.elements[shared + 1 : shared + 2], inside[0].elements[shared + 1])] == ["section", "section"]
+        if _holder(b) == shared or sections or shared and _level(b) == 1 and not titled:
+            widest = shared
+    if widest == at:
+        return "\n\n".join(b.text for b in inside), path
+    more = [b for b in page_blocks if id(b) not in own and len(b.elements) > widest and b.elements[widest] in within[widest]]
+    linked = 2 * sum(b.linked for b in more) > sum(len(b.text) for b in more)
+    own.update(id(b) for b in more if not linked or _is_prose(b))
+    return "\n\n".join(b.text for b in page_blocks if id(b) in own), inside[0].paths[widest]
+
+
+def _level(b: Block) -> int:
+    """A heading's level, else 0."""
+    return int(b.elements[-1].tag[1]) if b.elements[-1].tag in HEADINGS else 0
+
+
+def _is_prose(b: Block) -> bool:
+    return _level(b) > 0 or 2 * b.linked <= len(b.text)
 
 
 def extract(page: str | None, host_path: str | None) -> tuple[str, str]:
     """The main text and the path that it was taken from."""
     found = blocks(page or "")
     for path in (host_path, best_path(found)[0], ""):
-        if text := text_on_path(found, path):
-            return text, path or ""
+        text, taken = text_on_path(found, path)
+        if text:
+            return text, taken
     return "", ""
 
 

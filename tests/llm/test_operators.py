@@ -98,6 +98,32 @@ def test_html_host_consensus(spark):
     assert found[9]["text"] == ("m " * 5).strip() and found[10]["text"] == "" and found[10]["n_chars"] == 0
 
 
+PART = "<section><p>" + "running text of a section " * 12 + "</p></section>"
+PROSE = "words of the article " * 9
+
+
+@pytest.mark.parametrize(
+    ("page", "path"),
+    [
+        (f"<div id=w><div class=content><h1>Title</h1><p>lead</p>{PART}<p>between</p>{PART}</div><div class=links><a href=y>{'link ' * 9}</a></div></div>", "/div/div.content"),
+        (f"<div class=content><h1>Title</h1><div class=w-1/2><p>lead</p>{PART}<p>between</p>{PART}</div></div>", "/div.content"),
+        (f"<h1>Title</h1><p>lead</p>{PART}<p>between</p>{PART}", ""),
+        (f"<div class=page><div class=top><h1>Title</h1></div><div class=t><p>lead</p>{PART}<p>between</p>{PART}</div></div>", "/div.page"),
+        (f"<div class=c><section class=intro><h1>Title</h1><p>lead</p></section><section class=rest><p>{PROSE}</p><p>between</p><p>{PROSE}</p></section></div>", "/div.c"),
+    ],
+)
+def test_html_text_beside_sections(spark, page, path):
+    rows = [(k, "http://h.example/x", f"<body><nav>menu</nav>{page}<footer>end") for k in range(2)]
+    found = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        parts = r["text"].split("\n\n")
+        assert len(parts) == 5 and parts[:2] == ["Title", "lead"] and parts[3] == "between" and r["path"] == path
+
+
+def test_html_side_containers_stay_out():
+    assert html_extract.extract(f"<div class=wrap><div class=side><p>side</p></div><div class=text><p>{PROSE}</p></div></div>", None)[0] == PROSE.strip()
+
+
 # --- vectors
 
 
