@@ -9,7 +9,9 @@ widened to the ancestor that holds headings or text beside them; a page without
 such a container uses its own best one.
 
 Boilerplate subtrees (navigation, advertising, forms, comments and so on, told
-by tag, role or class words) neither score nor appear in the text.
+by tag, role or class words) neither score nor appear in the text. Class words
+don't count on a container that holds the page's article or main element, or
+most of its running text, and marked blocks are taken when nothing else is left.
 
 Rows: null html gives an empty text; a null url is a host of its own. Repeated
 rows vote and are extracted like any others. Truncated pages, unclosed tags and
@@ -50,6 +52,11 @@ DROPPED_WORDS = frozenset(
 )
 DROPPED_NAMES = frozenset("header site-header page-header siteheader pageheader top-header topbar".split())
 
+#: Marks of a page's layout, which wrappers carry too; those of what others wrote, or of what lies elsewhere, which may hold articles.
+LAYOUT = DROPPED_NAMES | frozenset("banner notice notices sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead widget widgets search pager pagination toolbar".split())
+OF_OTHERS = frozenset("comment comments commentlist disqus reply replies related recommended recommendations".split())
+#: In a class name before a mark: it tells what the page has, not what the element is.
+DENIED = frozenset("has no not with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | frozenset("p pre blockquote li td dd dt".split())
 
@@ -70,11 +77,12 @@ class Block(NamedTuple):
 class _Open:
     """An element: its container path, its parent and why it may be boilerplate."""
 
-    __slots__ = ("tag", "path", "above", "order", "main", "hard", "words")
+    __slots__ = ("tag", "path", "above", "order", "main", "hard", "words", "text")
 
     def __init__(self, tag: str, path: str, above: _Open | None, order: int, main: bool = False, hard: bool = False, words: frozenset = frozenset()):
         self.tag, self.path, self.above, self.order = tag, path, above, order
         self.main, self.hard, self.words = main, hard, words  # article or main; dropped by tag or role; marks among the class words
+        self.text = 0  # running text below
 
 
 def _raw_end(name: str, text: str, at: int) -> int:
@@ -83,8 +91,12 @@ def _raw_end(name: str, text: str, at: int) -> int:
 
 
 def _marks(names: str) -> frozenset[str]:
-    """The boilerplate words of class and id names."""
-    return DROPPED_WORDS.intersection(_WORDS.findall(names)) | DROPPED_NAMES.intersection(names.split())
+    """The boilerplate words of class and id names; 'no-sidebar' and 'has-menu' speak of other elements and mark nothing."""
+    found = set(DROPPED_NAMES.intersection(names.split()))
+    for name in names.split():
+        words = _WORDS.findall(name)
+        found.update(w for k, w in enumerate(words) if w in DROPPED_WORDS and DENIED.isdisjoint(words[:k]))
+    return frozenset(found)
 
 
 def blocks(page: str) -> list[Block]:
@@ -191,13 +203,57 @@ def _parsed(page: str) -> tuple[list[tuple[str, list[_Open], int]], list[_Open]]
     return out, elements
 
 
+def _chain(e: _Open | None) -> Iterator[_Open]:
+    while e is not None:
+        yield e
+        e = e.above
+
+
+def _unmark(found: list[tuple[str, list[_Open], int]], elements: list[_Open]) -> None:
+    """Class words don't count on containers that hold the page's article or main, or most of its running text."""
+    marked = [e for e in elements if e.words and not e.hard]
+    if not marked:
+        return
+    for text, inside, linked in found:
+        if all(e.words <= LAYOUT for e in inside):
+            for e in inside:
+                e.text += max(0, len(text) - linked)
+    depth = [0] * len(elements)
+    for e in elements[1:]:
+        depth[e.order] = depth[e.above.order] + 1
+    held: dict[int, list[_Open]] = defaultdict(list)  # marked element: the articles and mains in it
+    left: dict[int, int] = {}  # article or main: marked elements around it
+    for m in elements:
+        if m.main and not m.hard:
+            around = [e for e in _chain(m) if e.words]
+            left[m.order] = len(around)
+            for e in around:
+                held[e.order].append(m)
+    clear = sum(1 for n in left.values() if n == 0)
+    for e in sorted(marked, key=lambda e: (depth[e.order], -e.text, e.order)):
+        own = held[e.order]
+        article = any(m is e or not m.words for m in own) and not e.words & OF_OTHERS
+        most = e.words <= LAYOUT and 2 * e.text > elements[0].text
+        if any(m.tag == "main" for m in own) or not clear and (article or most):
+            e.words = frozenset()
+            for m in own:
+                left[m.order] -= 1
+                clear += left[m.order] == 0
+
+
 def _kept(found: list[tuple[str, list[_Open], int]], elements: list[_Open]) -> list[Block]:
+    _unmark(found, elements)
     dropped, article = [False] * len(elements), [""] * len(elements)
-    for e in elements[1:]:
-        above = e.above.order
-        dropped[e.order] = dropped[above] or e.hard or bool(e.words) or e.tag == "header" and not article[above]
-        article[e.order] = article[above] or (e.path if e.main and not dropped[e.order] else "")
-    return [Block(text, [e.path for e in inside], article[inside[-1].order], linked, inside) for text, inside, linked in found if not dropped[inside[-1].order]]
+
+    def resolve(trusting: bool) -> list[Block]:
+        for e in elements:
+            if e.above is not None:
+                above = e.above.order
+                dropped[e.order] = dropped[above] or e.hard or bool(trusting and e.words) or e.tag == "header" and not article[above]
+                article[e.order] = article[above] or (e.path if e.main and not dropped[e.order] else "")
+        return [Block(text, [e.path for e in inside], article[inside[-1].order], linked, inside) for text, inside, linked in found if not dropped[inside[-1].order]]
+
+    return resolve(True) or resolve(False)  # marked blocks are taken when nothing else is left
 
 
 def _holder(b: Block) -> int:

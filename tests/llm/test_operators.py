@@ -124,6 +124,25 @@ def test_html_side_containers_stay_out():
     assert html_extract.extract(f"<div class=wrap><div class=side><p>side</p></div><div class=text><p>{PROSE}</p></div></div>", None)[0] == PROSE.strip()
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='content has-sidebar'><article><p>{PROSE}</p></article></div>",
+        f"<body class=no-sidebar><div class='no-sidebar'><p>{PROSE}</p></div>",
+        f"<div class=main-with-menu><p>{PROSE}</p></div>",
+        f"<div id=page-nav-wrapper><div class=menu>m</div><div class=c><p>{PROSE}</p></div></div>",
+        f"<div id=page-nav-wrapper><div class=menu>m</div><article><p>{PROSE}</p></article><div class=comments><p>{'said ' * 200}</p></div></div>",
+        f"<main class=widget><p>{PROSE}</p></main>",
+        f"<div class=comments><p>{PROSE}</p></div>",  # nothing else is left
+        f"<div class=c><p>{PROSE}</p></div><div class=comments-area><p>{'said ' * 200}</p></div>",
+        f"<article><p>{PROSE}</p></article><div class=related-posts><article><p>{'other ' * 200}</p></article></div>",
+        f"<div class=c><p>{PROSE}</p></div><div class=ad><p>{'buy ' * 200}</p></div>",
+    ],
+)
+def test_html_marked_wrappers(page):
+    assert html_extract.extract(page, None)[0] == PROSE.strip()
+
+
 # --- vectors
 
 
