@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +81,57 @@ def drop_staged(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Rows of a few longs that may be broadcast (about 100 MB in memory).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table, in memory, that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row besides its values, when it is held in a hash table.
+_ROW_BYTES = 64
+
+
+def _bytes(df: DataFrame) -> Column:
+    """What a row takes in memory: its fixed-size values, its strings and the elements of its arrays."""
+    parts = [F.lit(_ROW_BYTES).cast("long")]
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, ArrayType):
+            parts.append(F.lit(16 if isinstance(kind.elementType, StructType) else 8) * F.coalesce(F.size(F.col(f"`{field.name}`")), F.lit(0)))
+        elif isinstance(kind, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda a, b: a + b, parts)
 
 
 def sized_broadcast(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count finds it small; a larger one is left to a shuffled join. For staged, narrow tables."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its summed bytes are few; a larger one is left to a shuffled join. For staged tables, which are cheap to read twice."""
+    held = df.agg(F.sum(_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
+def private(docs: DataFrame, *labels: str) -> list[str]:
+    """A column name for each label that none of docs' own columns has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for label in labels:
+        name = f"_{label}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+class Staging:
+    """The staged tables of one operator's run. Those in between are deleted by drop(), once nothing will read them again."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.held.append(staged(df, label))
+        return self.held[-1]
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in self.held:
+            if not any(df is k for k in kept):
+                drop_staged(df)
+        self.held = [df for df in self.held if any(df is k for k in kept)]

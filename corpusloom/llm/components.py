@@ -28,6 +28,19 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+class Forest:
+    """Local components to which links are added in parts; root[i] is the smallest node that node i reaches."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def tie(self, a: np.ndarray, b: np.ndarray) -> None:
+        ra, rb = self.root[a], self.root[b]
+        apart = ra != rb
+        if apart.any():
+            self.root = local_roots(len(self.root), ra[apart], rb[apart])[self.root]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link to another node; root is the smallest node it reaches.
 

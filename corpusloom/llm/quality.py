@@ -6,15 +6,19 @@ collapsed, digits as 0), counts the distinct documents of a host (its distinct
 texts, so copies of one document count once) that hold each line, removes
 lines above the limit, and rejects a document when too few words are left.
 
-Per host one row with its frequent lines is joined to the documents. A line
-counts only if a fixed share of the host's documents hold it, so such a row
-holds at most (mean lines a document / share) hashes. The host table is staged
-first, so the engine knows its size: it is broadcast if it is under the
-session's threshold and shuffled, with hot hosts split, if not.
+The limit is a number of documents, LINE_DOCS, so it doesn't grow with a host.
+
+Lines are staged once as narrow rows (host, document, line), counted
+with pre-aggregation, and the frequent (host, line) pairs are joined to them
+again: broadcast if their bytes are few, shuffled if not, where the engine
+splits hot pairs. What comes back to the documents is a row for each distinct
+(host, text) that holds a frequent line.
 
 Rows: null text counts as empty (no words, so the base rules reject it). A
-null host is a host of its own. Repeated rows each get the same verdict. An
-empty table gives an empty result. Other columns are carried by `filtered`.
+null host is a host of its own. Repeated rows each get the same verdict, and so
+do rows equal in id alone, each for its own text. An empty table gives an empty
+result. Other columns are carried, whatever their names; `judge` adds
+`quality`, in place of a column so named.
 """
 
 from __future__ import annotations
@@ -22,15 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Staging, private, sized_broadcast
 from .native import WORD_START, let, lines, total, words
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is above the limit if more documents of the host hold it than either.
+#: A line is above the limit if more distinct texts of the host hold it.
 LINE_DOCS = 30
-LINE_SHARE = 0.1
 #: A document is depleted if a smaller share of its words is left, or fewer than MIN_WORDS.
 KEEP_SHARE = 0.3
 
@@ -82,23 +85,22 @@ def keyed_lines(text: Column) -> Column:
     return F.transform(worded, lambda line: F.struct(line_key(line).alias("key"), F.size(words(line)).alias("words")))
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, line_docs: int, line_share: float) -> DataFrame:
-    """(host, frequent): the keys of the lines above the limits, for hosts that have any."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    host = F.col(host_col).alias("host")
-    keys = F.array_distinct(F.transform(F.filter(lines(text), lambda line: line.rlike(WORD_START)), line_key))
-    held = docs.select(host, F.xxhash64(text).alias("doc"), F.explode(keys).alias("key")).distinct()
-    per_line = held.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
-    per_host = docs.select(host, F.xxhash64(text).alias("doc")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    same = F.col("host").eqNullSafe(F.col("of_host"))
-    above = per_line.join(per_host.withColumnRenamed("host", "of_host"), same).filter(F.col("n") > F.col("docs") * line_share)
-    return above.groupBy("host").agg(F.collect_list("key").alias("frequent"))
+def frequent_lines(docs: DataFrame, text_col: str, host_col: str, line_docs: int, stage: Staging) -> DataFrame:
+    """(host, doc, frequent): for each distinct text of a host with lines above the limit, its MD5 and their keys."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    named = docs.select(F.col(f"`{host_col}`").alias("host"), text.alias("text"), F.md5(text).alias("doc"))
+    keys = F.array_distinct(F.transform(F.filter(lines(F.col("text")), lambda line: line.rlike(WORD_START)), line_key))
+    held = stage(named.select("host", "doc", F.explode(keys).alias("key")), "lines")
+    per_line = held.distinct().groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
+    above = stage(per_line.select(F.col("host").alias("of_host"), F.col("key").alias("of_key")), "frequent-lines")
+    hits = held.join(sized_broadcast(above), F.col("host").eqNullSafe(F.col("of_host")) & (F.col("key") == F.col("of_key")))
+    return hits.groupBy("host", "doc").agg(F.collect_set("key").alias("frequent"))
 
 
-def _verdict(text: Column, keep_share: float) -> Column:
-    """The counts and verdicts of a row that has _frequent, the keys of its host's lines above the limits (null: none)."""
-    left = total(F.transform(F.filter(keyed_lines(text), lambda e: ~F.array_contains(F.col("_frequent"), e["key"])), lambda e: e["words"]))
-    left = F.when(F.col("_frequent").isNotNull(), left)
+def _verdict(text: Column, gone: Column, keep_share: float) -> Column:
+    """The counts and verdicts of a row; gone holds the keys of its lines above the limit (null: none)."""
+    left = total(F.transform(F.filter(keyed_lines(text), lambda e: ~F.array_contains(gone, e["key"])), lambda e: e["words"]))
+    left = F.when(gone.isNotNull(), left)
 
     def verdict(c: Column) -> Column:
         failed = base_failed(c)
@@ -108,15 +110,23 @@ def _verdict(text: Column, keep_share: float) -> Column:
     return let(base_counts(text), verdict)
 
 
-def _with_frequent(docs: DataFrame, text_col: str, host_col: str, line_docs: int, line_share: float) -> DataFrame:
-    hosts = staged(frequent_lines(docs, text_col, host_col, line_docs, line_share), "hosts").toDF("_host", "_frequent")
-    return docs.join(hosts, F.col(host_col).eqNullSafe(F.col("_host")), "left").drop("_host")
+def _with_frequent(docs: DataFrame, text_col: str, host_col: str, line_docs: int, gone: str) -> DataFrame:
+    """docs with a column more: the keys of the row's lines above the limit, or null."""
+    of_host, of_doc = private(docs.withColumn(gone, F.lit(None)), "of_host", "of_doc")
+    stage = Staging()
+    marks = frequent_lines(docs, text_col, host_col, line_docs, stage).toDF(of_host, of_doc, gone)
+    marks = stage(marks, "frequent-of-texts")
+    stage.drop(marks)
+    same = F.col(f"`{host_col}`").eqNullSafe(F.col(of_host)) & (F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col(of_doc))
+    return docs.join(sized_broadcast(marks), same, "left").drop(of_host, of_doc)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
     """docs with one more column, `quality`: counts, base_failed and kept."""
-    found = _with_frequent(docs, text_col, host_col, line_docs, line_share)
-    return found.withColumn("quality", _verdict(F.coalesce(F.col(text_col), F.lit("")), keep_share)).drop("_frequent")
+    (gone,) = private(docs, "gone")
+    found = _with_frequent(docs, text_col, host_col, line_docs, gone)
+    verdict = _verdict(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(gone), keep_share)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality"], verdict.alias("quality"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -126,9 +136,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return judge(plain).select("doc_id", *[F.col(f"quality.{k}") for k in names])
 
 
-def filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """The kept rows with docs' own columns; lines above the limits are taken out of their texts."""
-    found = _with_frequent(docs, text_col, host_col, line_docs, line_share)
-    kept = found.filter(_verdict(F.coalesce(F.col(text_col), F.lit("")), keep_share)["kept"])
-    rest = F.array_join(F.filter(lines(F.col(text_col)), lambda line: ~(line.rlike(WORD_START) & F.array_contains("_frequent", line_key(line)))), "\n")
-    return kept.withColumn(text_col, F.when(F.col("_frequent").isNull(), F.col(text_col)).otherwise(rest)).drop("_frequent")
+def filtered(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The kept rows with docs' own columns; lines above the limit are taken out of their texts."""
+    (gone,) = private(docs, "gone")
+    text = F.col(f"`{text_col}`")
+    found = _with_frequent(docs, text_col, host_col, line_docs, gone)
+    kept = found.filter(_verdict(F.coalesce(text, F.lit("")), F.col(gone), keep_share)["kept"])
+    rest = F.array_join(F.filter(lines(text), lambda line: ~(line.rlike(WORD_START) & F.array_contains(F.col(gone), line_key(line)))), "\n")
+    return kept.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(rest)).drop(gone)

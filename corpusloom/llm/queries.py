@@ -64,9 +64,7 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
 ln AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS key,
               len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT doc_id, source, text, unnest(ls) AS l FROM w)),
-host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-freq AS (SELECT l.source, l.key FROM ln l JOIN host h ON l.source IS NOT DISTINCT FROM h.source
-         GROUP BY l.source, l.key, h.docs HAVING count(DISTINCT l.text) > 30 AND count(DISTINCT l.text) > h.docs * 0.1),
+freq AS (SELECT source, key FROM ln GROUP BY source, key HAVING count(DISTINCT text) > 30),
 lft AS (SELECT l.doc_id, sum(CASE WHEN f.key IS NULL THEN l.words ELSE 0 END) AS words FROM ln l LEFT JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key GROUP BY l.doc_id),
 c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -83,17 +81,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-ORACLE_SQL["op6_line_dedup"] = """
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i, ls[i + 1] AS line, len(ls) AS n,
-             md5(CASE WHEN i > 0 THEN md5(ls[i]) ELSE '' END || md5(ls[i + 1])) AS r FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM d)),
-b AS (SELECT *, CASE WHEN i > 0 AND i < n - 1 AND r < lag(r) OVER w AND r < lead(r) OVER w THEN 1 ELSE 0 END AS stops FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT *, coalesce(sum(stops) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-c AS (SELECT doc_id, k, min(i) AS chunk, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, k),
-m AS (SELECT doc_id, k, size > 1 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AS gone FROM c WHERE size > 1),
-o AS (SELECT g.doc_id, string_agg(g.line, chr(10) ORDER BY g.i) FILTER (NOT coalesce(m.gone, false)) AS text, count(*) AS n_lines,
-             count(*) FILTER (coalesce(m.gone, false)) AS n_removed FROM g LEFT JOIN m ON g.doc_id = m.doc_id AND g.k = m.k GROUP BY g.doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_removed, 0) AS n_removed FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+ORACLE_SQL["op6_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |。|\z)'), lambda u: u <> '') AS us FROM documents),
+l AS (SELECT doc_id, i, us[i + 1] AS unit, len(us) AS n, instr('0123456789abcdef', md5(us[i + 1])[1]) - 1 AS h FROM (SELECT *, unnest(range(0, len(us))) AS i FROM d)),
+b AS (SELECT *, (5 * lag(h) OVER w + h) % 16 < 12 AND i > 0 AND i < n - 1 AS ends FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT doc_id, i, n, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM b WHERE ends OR i = n - 1),
+c AS (SELECT doc_id, coalesce(was - 1, 0) AS chunk, i - coalesce(was - 1, 0) + 1 AS size FROM e WHERE n > 1),
+t AS (SELECT c.doc_id, c.chunk, c.size, array_to_string(d.us[c.chunk + 1 : c.chunk + c.size], '') AS body FROM c JOIN d ON c.doc_id = d.doc_id),
+m AS (SELECT doc_id, chunk, size, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk, size) > 1 AS again FROM t WHERE length(body) >= 32),
+g AS (SELECT DISTINCT doc_id, unnest(range(chunk, chunk + size)) AS i FROM m WHERE again),
+k AS (SELECT l.doc_id, l.i, l.unit, lag(l.i) OVER w AS was, lag(l.unit) OVER w AS prev FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i WHERE g.i IS NULL WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.i)),
+o AS (SELECT k.doc_id, string_agg(CASE WHEN k.was < k.i - 1 AND gap.unit LIKE '%' || chr(10) AND k.prev NOT LIKE '%' || chr(10) THEN chr(10) ELSE '' END || k.unit, '' ORDER BY k.i) AS text
+      FROM k LEFT JOIN l AS gap ON gap.doc_id = k.doc_id AND gap.i = k.i - 1 GROUP BY k.doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN r.n IS NULL THEN d.text ELSE regexp_replace(coalesce(o.text, ''), '[ \n]+\z', '') END AS text,
+       coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(d.us), 0)::BIGINT AS n_units, coalesce(r.n, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
 """
 
 

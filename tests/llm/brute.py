@@ -6,13 +6,37 @@ import re
 import xxhash
 
 
-def chunks(text):
-    lines = text.split("\n")
-    h = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-    r = [hashlib.md5(((h[i - 1] if i else "") + h[i]).encode()).hexdigest() for i in range(len(h))]
-    ends = [i for i in range(1, len(h) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]]
-    starts = [0, *[e + 1 for e in ends]]
-    return [(a, lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)])]
+def units(text):
+    return [u for u in re.findall(r"(?s).*?(?:\n|[.!?] |。|\Z)", text) if u]
+
+
+def chunks(us):
+    """(start, size) of each chunk of two units or more."""
+    h = [int(hashlib.md5(u.encode()).hexdigest()[0], 16) for u in us]
+    ends = [*[i for i in range(1, len(us) - 1) if (5 * h[i - 1] + h[i]) % 16 < 12], len(us) - 1]
+    starts = [0, *[e - 1 for e in ends[:-1]]]
+    return [(a, e - a + 1) for a, e in zip(starts, ends)] if len(us) > 1 else []
+
+
+def thinned(texts):
+    """{key: text without the chunks that occurred before}, in the order of the keys."""
+    seen, left = set(), {}
+    for key in sorted(texts):
+        us, gone = units(texts[key]), set()
+        for start, size in chunks(us):
+            body = "".join(us[start : start + size])
+            if len(body) >= 32:
+                if body in seen:
+                    gone.update(range(start, start + size))
+                seen.add(body)
+        kept = [i for i in range(len(us)) if i not in gone]
+        out = ""
+        for n, i in enumerate(kept):
+            if n and kept[n - 1] < i - 1 and us[i - 1].endswith("\n") and not us[kept[n - 1]].endswith("\n"):
+                out += "\n"
+            out += us[i]
+        left[key] = re.sub(r"[ \n]+\Z", "", out) if gone else texts[key]
+    return left
 
 
 def repeated_words(words):

@@ -290,29 +290,71 @@ def test_warc_rows(spark, tmp_path):
 
 def test_line_dedup_against_brute_force(spark):
     rnd = random.Random(3)
-    pool = [f"line number {k} of the pool" for k in range(40)]
+    pool = [f"line number {k} of the pool. It is said twice. Is it?" for k in range(40)]
     shared = pool[:14]
     texts = []
     for k in range(60):
         own = [f"own line {k} {j} {rnd.random()}" for j in range(rnd.randint(0, 6))]
         at = rnd.randint(0, len(own))
-        texts.append("\n".join(own[:at] + (shared if k % 3 else rnd.choices(pool, k=5)) + own[at:]))
+        texts.append("\n".join(own[:at] + (shared if k % 3 else rnd.choices(pool, k=5)) + own[at:]) + rnd.choice(["", "\n", "。", " \x01."]))
+    texts += ["\n\n\n", "one. two", ". . . ", "x" * 70, "ab. " * 5000, texts[0]]
     rows = [*enumerate(texts), (100, None), (101, ""), (None, texts[0])]
     got = {r["doc_id"]: r for r in linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    seen = set()
+    want = brute.thinned(dict(enumerate(texts)))
     for k, text in enumerate(texts):
-        kept = []
-        for _, chunk in brute.chunks(text):
-            body = "\n".join(chunk)
-            if len(chunk) < 2 or body not in seen:
-                kept += chunk
-            if len(chunk) > 1:
-                seen.add(body)
-        assert got[k]["text"] == "\n".join(kept)
+        assert got[k]["text"] == want[k] and got[k]["n_units"] == len(brute.units(text)) and got[k]["n_lines"] == text.count("\n") + 1
     assert sum(r["n_removed"] for r in got.values()) > 100
     assert got[100]["text"] is None and got[101]["text"] == "" and got[None]["text"] == texts[0]
 
 
+def test_line_dedup_finds_short_passages(spark):
+    """Passages of over 50 words between different neighbours: most are removed for the most part, other text stays."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8)))
+    sentence = lambda: " ".join(word() for _ in range(rnd.randint(3, 13))).capitalize() + "."
+
+    def passage(lines):
+        found = []
+        while sum(len(x.split()) for x in found) < 50 or len(found) < lines:
+            found.append(sentence())
+        cuts = sorted(rnd.sample(range(1, len(found)), lines - 1))
+        return "\n".join(" ".join(found[a:b]) for a, b in zip([0, *cuts], [*cuts, len(found)]))
+
+    rows, planted = [], {}
+    for k in range(240):
+        text = passage(1 + k % 6)
+        for copy in range(2):
+            around = ["\n".join(sentence() for _ in range(4)) for _ in range(2)]
+            planted[2 * k + copy] = (text, around)
+            rows.append((2 * k + copy, f"{around[0]}\n{text}\n{around[1]}"))
+    got = {r["doc_id"]: r["text"] for r in linededup.thinned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = 0
+    for k, (text, around) in planted.items():
+        assert around[0].split("\n")[0] in got[k] and around[1].split("\n")[-1] in got[k]
+        if k % 2:
+            caught += sum(u.strip() not in got[k] for u in brute.units(text)) >= len(brute.units(text)) / 2
+        else:
+            assert text in got[k]
+    assert caught >= 0.9 * 240
+
+
+def test_one_id_with_two_texts(spark):
+    a = "\n".join(f"line {k} of the first text, which others hold too." for k in range(12))
+    b = "\n".join(f"line {k} of another text, which nobody else holds." for k in range(12))
+    rows = [(1, a), (7, a), (7, b), (9, a), (9, a)]
+    got = linededup.thinned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (7, ""), (7, b), (9, ""), (9, "")]
+    p, q = a + "\nand more", b + "\nand more"
+    rows = [(3, a), (5, a), (5, b), (7, p), (7, q), (8, a), (8, a), (None, a)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    prints = {t: brute.fingerprint(t) for t in (a, b, p, q)}
+    linked = lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 3
+    assert (3, a) in kept and (None, a) in kept and not {(5, a), (8, a)} & kept
+    assert linked(a, b) or (5, b) in kept
+    assert linked(a, p) == ((7, p) not in kept) and len(got) == len(kept)
+
+
 def test_line_dedup_rows(spark, odd):
     rows = linededup.deduplicate(odd).collect()
     assert len(rows) == len(ODD) and rows[0]["fp"] == "x"
@@ -372,12 +414,29 @@ def test_trie_join_against_all_pairs():
     values = np.unique(np.r_[base, (base[:, None] ^ flips[..., 0] ^ flips[..., 1] ^ flips[..., 2]).ravel()])
     groups = values >> np.uint64(48)
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    a, b = simhash.close_pairs(values, starts, np.r_[starts[1:], len(values)], 16)
+    ends = np.r_[starts[1:], len(values)]
+    a, b = (np.concatenate(x) for x in zip(*simhash.close_pairs(values, starts, ends, 16)))
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near & (groups[:, None] == groups[None, :]), 1)))}
     assert {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())} == want and len(want) > 1000
 
 
+@pytest.mark.parametrize("hot", [simhash.HOT, 100])
+def test_hot_blocks_are_dealt_out(spark, hot):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 20, 1500, dtype=np.uint64) << np.uint64(20) | np.uint64(0xABCD << 48)
+    flips = np.uint64(1) << rng.integers(0, 64, (1500, 3), dtype=np.uint64)
+    values = np.unique(np.r_[base, base ^ flips[:, 0], base ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2]])
+    rows = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    got = {r["node"]: r["root"] for r in components(simhash.fingerprint_links(rows, hot=hot)).collect()}
+    a, b = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3, 1))
+    order = np.argsort(values.view(np.int64))
+    place = np.argsort(order)
+    roots = local_roots(len(values), place[a], place[b])
+    signed = values.view(np.int64)[order]
+    assert got == {int(signed[i]): int(signed[roots[i]]) for i in np.unique(np.r_[place[a], place[b]])}
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rnd = random.Random(11)
     texts = []
@@ -434,10 +493,11 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     runs = []
-    for rows in (common.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    for size in (common.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
         thin = sorted(map(repr, linededup.deduplicate(docs.select("doc_id", "text")).collect()))
-        runs.append((thin, sorted(r["doc_id"] for r in simhash.deduplicate(docs).select("doc_id").collect())))
+        good = sorted(map(repr, quality.filtered(docs).collect()))
+        runs.append((thin, good, sorted(r["doc_id"] for r in simhash.deduplicate(docs).select("doc_id").collect())))
     assert runs[0] == runs[1]
 
 

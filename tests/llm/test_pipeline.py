@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -41,12 +42,11 @@ def _brute_pipeline(docs):
     worded = lambda t: [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     key = lambda x: re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower())).strip(" ")
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
-    held, hosts = defaultdict(set), defaultdict(set)
+    held = defaultdict(set)
     for _, text, host in docs:
-        hosts[host].add(text)
         for x in worded(text):
             held[host, key(x)].add(text)
-    often = {k for k, texts in held.items() if len(texts) > 30 and len(texts) > 0.1 * len(hosts[k[0]])}
+    often = {k for k, texts in held.items() if len(texts) > 30}
     marked = {host for host, _ in often}
     kept = []
     for doc_id, text, host in docs:
@@ -54,15 +54,7 @@ def _brute_pipeline(docs):
         if n < 10 or 100 * brute.repeated_words(words(text)) > 20 * n or host in marked and (left < 10 or left < 0.3 * n):
             continue
         kept.append((doc_id, "\n".join(x for x in text.split("\n") if (host, key(x)) not in often)))
-    seen, shorter = set(), []
-    for doc_id, text in sorted(kept):
-        lines = []
-        for _, chunk in brute.chunks(text):
-            if len(chunk) < 2 or tuple(chunk) not in seen:
-                lines += chunk
-            if len(chunk) > 1:
-                seen.add(tuple(chunk))
-        shorter.append((doc_id, "\n".join(lines)))
+    shorter = sorted(brute.thinned(dict(kept)).items())
     prints = np.array([brute.fingerprint(t) for _, t in shorter], np.uint64)
     a, b = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3, 1))
     roots = local_roots(len(shorter), a, b)
@@ -102,12 +94,34 @@ def test_stages_return_documents(spark, tmp_path):
         assert kept.columns == columns and ids <= was and (name not in ("line_dedup", "secret_scan") or ids == was)
 
 
-def test_entry_survives_without_the_operators(tmp_path):
+def test_stages_on_odd_rows(spark, tmp_path):
+    prose = "\n".join(" ".join(f"w{j}x{k}" for k in range(12)) for j in range(6))
+    other = prose.replace("w5x", "v5x")
+    rows = [(1, None, "en", None, 0), (2, "", None, "a", 0), (3, prose, "en", "a", 0), (3, prose, "en", "a", 0), (3, prose.replace("w", "u"), "en", "a", 0), (None, prose, "en", "a", 0), (4, other, None, None, None), (5, "long words here " * 30000, "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clashing = ("_id", "_gone", "_out", "_host", "_frequent", "gone", "of_id", "of_text", "quality", "fp", "n_lines", "hash")
+    for with_rows in (rows, []):
+        kept = spark.createDataFrame(with_rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            wide = kept.select("*", *[F.lit(name).alias(c) for c in clashing])
+            stage(spark, wide, SF).write.parquet(f"{tmp_path}/{len(with_rows)}-{name}")
+            kept = spark.read.schema(schema).parquet(f"{tmp_path}/{len(with_rows)}-{name}")
+            assert kept.columns == schema.replace(",", "").split()[::2]
+        left = kept.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+        assert len(packed) >= len(left)
+        if with_rows:  # both texts of id 3 stay, each once; a null id is never a copy of another
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left if r["doc_id"] != 4) == [(False, 3), (False, 3), (True, 0)]
+            assert {r["text"] for r in left if r["doc_id"] == 3} == {prose, prose.replace("w", "u")}
+
+
+@pytest.mark.parametrize("dropped", [(), ("corpus_pipeline.py",)])
+def test_entry_survives_without_the_operators(tmp_path, dropped):
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *dropped))
     code = "import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r").returncode == 0
