@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go, all but the first of each; every document stays."""
-    return _documents(linededup.deduplicate(docs))
+    """Repeated chunks of lines or sentences go, all but the first of each; every document stays."""
+    return _documents(linededup.thinned(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
