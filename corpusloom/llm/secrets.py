@@ -3,14 +3,16 @@
 Strong detectors (assign, access, hex) report every span they accept. Weak
 detectors (ident, key, endpoint) match things that are common in harmless
 text too, so a weak span is reported only when complementary parts of one
-credential lie within the same scope: an interval join, per document, of the
-spans widened by `scope` code points on both sides.
+credential lie within the same scope, on other characters: an interval join,
+per document, of the spans widened by `scope` code points on both sides. One
+value is never its own complement.
 
 All parts of a credential lie in one document, hence in one row: the interval
 join is a sorted sweep inside the row's task and nothing is shuffled.
 
 Rows: null text counts as empty (no spans, zero counts); repeated rows are
-scanned independently; columns other than the text are ignored. An empty
+scanned independently; columns other than id and text are ignored, whatever
+their names. Spans that start together are in the order of KINDS. An empty
 table gives an empty result.
 """
 
@@ -18,8 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +45,8 @@ WEAK_ASSIGN = re.compile(r"""(?i:(?<![A-Za-z0-9])(?:pwd|pass|passphrase|auth|bea
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?i:(?<![A-Za-z0-9])(?:endpoint|host(?:name)?|server|bucket))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""", re.A)
 
+USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/?#:@\"'<>]+):([^\s/?#@\"'<>]{3,})@")
+
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
@@ -62,43 +67,74 @@ def _random_looking(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)
 
 
-class _Intervals:
-    """Spans by start; answers whether any of them meets [start, end) widened by a margin."""
+Span = tuple[int, str, int]
 
-    def __init__(self, spans: list[tuple[int, str, int]]):
-        self.spans = sorted((s, e) for s, _, e in spans)
-        self.starts = [s for s, _ in self.spans]
-        self.reach = []
-        furthest = -1
-        for _, e in self.spans:
-            furthest = max(furthest, e)
-            self.reach.append(furthest)
 
-    def meets(self, start: int, end: int, margin: int) -> bool:
-        k = bisect_left(self.starts, end + margin)
-        return k > 0 and self.reach[k - 1] > start - margin
+class _Parts:
+    """Spans that can complete a credential; tells whether one of them stands within a margin of [start, end), apart from it."""
 
+    def __init__(self, spans: list[Span]):
+        self.starts = sorted(s for s, _, _ in spans)
+        self.ends = sorted(e for _, _, e in spans)
 
-def linked_spans(text: str, base: list[tuple[int, str, int]], scope: int = SCOPE) -> list[tuple[int, str, int]]:
-    """The weak spans whose complementary parts stand within the scope.
+    def beside(self, start: int, end: int, margin: int) -> bool:
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start - margin or after < len(self.starts) and self.starts[after] < end + margin
 
-    ident needs a secret; key needs an identifier; endpoint needs both. Strong
-    spans serve as parts too: access is an identifier, assign and hex are secrets.
-    """
-    weak: list[tuple[int, str, int]] = []
+
+class _Cover:
+    """Spans by start; tells whether any of them overlaps [start, end)."""
+
+    def __init__(self, spans: list[Span]):
+        ordered = sorted((s, e) for s, _, e in spans)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
+def weak_spans(text: str) -> list[Span]:
+    """Everything that could be a part of a credential. The user, password and rest of a URL are parts of their own."""
+    weak: list[Span] = []
     if ":" in text or "=" in text:
         weak += [(m.start(), "ident", m.end()) for m in IDENT.finditer(text)]
         weak += [(m.start(), "key", m.end()) for m in WEAK_ASSIGN.finditer(text)]
-        weak += [(m.start(), "endpoint", m.end()) for m in ENDPOINT.finditer(text)]
+        for m in ENDPOINT.finditer(text):
+            owner = USERINFO.match(text, m.start(), m.end())
+            if owner:
+                weak += [(owner.start(1), "ident", owner.end(1)), (owner.start(2), "key", owner.end(2))]
+            weak.append((owner.end() if owner else m.start(), "endpoint", m.end()))
     weak += [(m.start(), "key", m.end()) for m in RANDOM.finditer(text) if _random_looking(m[0])]
+    return [w for w in weak if w[2] > w[0]]
+
+
+def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
+    """The weak spans whose complementary parts stand within the scope, on other characters than they do.
+
+    ident needs a secret; key needs an identifier; endpoint needs one of each, and
+    weak ones count there only if they are linked to each other. Strong spans
+    serve as parts too: access is an identifier, assign and hex are secrets.
+    """
+    weak = weak_spans(text)
     if not weak:
         return []
-    taken = _Intervals(base)
-    weak = [w for w in weak if w[1] == "endpoint" or not taken.meets(w[0], w[2], 0)]
-    idents = _Intervals([s for s in base if s[1] == "access"] + [w for w in weak if w[1] == "ident"])
-    secrets = _Intervals([s for s in base if s[1] in ("assign", "hex")] + [w for w in weak if w[1] == "key"])
-    need = {"ident": (secrets,), "key": (idents,), "endpoint": (idents, secrets)}
-    return [w for w in weak if all(part.meets(w[0], w[2], scope) for part in need[w[1]])]
+    taken = _Cover(base)
+    weak = [w for w in weak if w[1] == "endpoint" or not taken.overlaps(w[0], w[2])]
+    strong = {"ident": [s for s in base if s[1] == "access"], "key": [s for s in base if s[1] in ("assign", "hex")]}
+    parts = {kind: _Parts(own + [w for w in weak if w[1] == kind]) for kind, own in strong.items()}
+    other = {"ident": "key", "key": "ident"}
+    found = [w for w in weak if w[1] in other and parts[other[w[1]]].beside(w[0], w[2], scope)]
+    linked = [_Parts(own + [w for w in found if w[1] == kind]) for kind, own in strong.items()]
+    inner = [_Cover(own + [w for w in found if w[1] == kind]) for kind, own in strong.items()]
+
+    def has_both(start: int, end: int) -> bool:
+        # A URL may hold parts, as in its query.
+        url = "://" in text[start:end]
+        return all(p.beside(start, end, scope) or url and c.overlaps(start, end) for p, c in zip(linked, inner))
+
+    return found + [w for w in weak if w[1] == "endpoint" and has_both(w[0], w[2])]
 
 
 def find_spans(text: str, scope: int = SCOPE) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -153,5 +189,5 @@ def redacted(text: str, mask: str = "[redacted]", scope: int = SCOPE) -> str:
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per input row: the id and the scan's columns."""
-    found = docs.select(F.col(id_col), scan(F.col(text_col), scope).alias("found"))
-    return found.select(id_col, "found.*")
+    found = docs.select(F.col(f"`{id_col}`"), scan(F.col(f"`{text_col}`"), scope).alias("found"))
+    return found.select(f"`{id_col}`", "found.*")
