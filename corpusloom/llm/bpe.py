@@ -18,6 +18,7 @@ whatever their length; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import hashlib
 import json
 from collections.abc import Iterator
@@ -74,6 +75,7 @@ class ByteBPE:
         back = {c: b for b, c in byte_characters().items()}
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_names = re.compile("|".join(map(re.escape, sorted(self.special))))
         as_bytes = {i: bytes(back[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         size = max(as_bytes) + 1
         strings = [as_bytes.get(i, b"") for i in range(size)]
@@ -177,13 +179,11 @@ class ByteBPE:
 
     def _split_special(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Chunks of ordinary text, each with the id of the special token after it."""
-        while True:
-            at, name = min(((k, s) for s in self.special if (k := text.find(s)) >= 0), default=(-1, ""))
-            if at < 0:
-                yield text, None
-                return
-            yield text[:at], self.special[name]
-            text = text[at + len(name) :]
+        at = 0
+        for m in self.special_names.finditer(text) if self.special else ():
+            yield text[at : m.start()], self.special[m[0]]
+            at = m.end()
+        yield text[at:], None
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.bytes_of.gather(ids)).decode("utf-8", "replace")
