@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, staged
+from .common import shared_path, sized_broadcast, staged
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 1 << 30
@@ -111,12 +111,15 @@ def parse_record(raw: bytes) -> dict:
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, record_type, refers_to."""
-    body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.when(F.length(body) >= MIN_REVISIT, F.sha2(body, 256)).alias("key"))
+    body = F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), F.when(F.length(body) >= MIN_REVISIT, F.sha2(body, 256)).alias("key"))
     shared = rows.filter("key IS NOT NULL").groupBy("key").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("key", "keeper")
-    found = rows.join(staged(shared, "shared-payloads"), "key", "left")
+    # Small payloads have no key; they would all meet in one partition of a shuffled join.
+    found = rows.filter("key IS NOT NULL").join(sized_broadcast(staged(shared, "shared-payloads")), "key", "left")
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return found.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
+    found = found.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
+    small = rows.filter("key IS NULL").select("page_id", "url", "html", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return found.unionByName(small)
 
 
 def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
