@@ -10,12 +10,17 @@ fold into one matrix, so a batch of texts takes two matrix products: presence
 by landmark presence, then kernel values by coefficients.
 
 The fit reads a bounded sample: at most `PER_LANGUAGE` labelled rows of each
-language and `LANDMARKS` landmarks in all, drawn by a hash of the id. Scoring
-reads every whole text.
+language, `SAMPLE` rows of the `LANGUAGES` most frequent ones, and `LANDMARKS`
+landmarks (one a language, if those are more), drawn by a hash of the id.
+Executors turn the sampled texts into n-gram sets and kernel values; the driver
+gets the landmarks' sets and one row of kernel values for each sampled text, never
+a text. Scoring reads every whole text.
 
 Rows: a null text or one without letters is `und` with score 0. Repeated rows
-are scored alike. Null labels are never learned from. A training set without
-labels gives `und` everywhere; an empty table gives an empty result.
+are scored alike; of languages with equal margins the first by name is taken.
+Null labels are never learned from. A training set without labels gives `und`
+everywhere; an empty table gives an empty result. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 NGRAM = 4
 BUCKETS = 1 << 17
 PER_LANGUAGE = 250
 LANDMARKS = 64
+LANGUAGES = 512
+SAMPLE = 20_000
 RIDGE = 1e-3
 BATCH = 256
 UNKNOWN = "und"
@@ -103,50 +112,87 @@ class Model:
         return names, scores
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """texts and labels in any order; landmarks are the first texts of each language in turn."""
-    rows, sizes, known = presence_rows(texts)
-    use = np.flatnonzero(known)
-    if not len(use):
-        return None
-    rows, sizes, labels = rows[use], sizes[use], [labels[i] for i in use]
-    languages = sorted(set(labels))
-    turn = {name: 0 for name in languages}
-    order = []
-    for i, name in enumerate(labels):
-        order.append((turn[name], name, i))
-        turn[name] += 1
-    chosen = np.array([i for _, _, i in sorted(order)[: max(landmarks, len(languages))]])
-    cells = np.flatnonzero(rows[chosen].any(axis=0))
-    scaled = (rows[chosen][:, cells] / np.sqrt(sizes[chosen])[:, None]).T.astype(np.float32)
-    shell = Model(languages, cells, scaled, np.zeros((len(chosen), len(languages))), np.zeros(len(languages)))
-    k = shell.kernel(rows[:, cells], sizes)
-    value, vector = np.linalg.eigh(k[chosen])
+def landmark_model(languages: list[str], sets: list[np.ndarray]) -> Model:
+    """A model with landmarks, given by their cells, and no weights yet."""
+    cells = np.unique(np.concatenate(sets))
+    scaled = np.zeros((len(cells), len(sets)), np.float32)
+    for k, own in enumerate(sets):
+        scaled[np.searchsorted(cells, own), k] = 1 / np.sqrt(len(own))
+    return Model(languages, cells, scaled, np.zeros((len(sets), len(languages))), np.zeros(len(languages)))
+
+
+def solve(shell: Model, kernel: np.ndarray, labels: list[str], between: np.ndarray, ridge: float = RIDGE) -> Model:
+    """Ridge regressions on the Nystroem features of kernel (rows by landmarks); between: the landmarks' own kernel."""
+    value, vector = np.linalg.eigh(between)
     good = value > 1e-8 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    features = k @ root
-    target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    # Each language weighs the same, however many rows it has.
-    weight = np.array([1.0 / labels.count(name) for name in languages])[[languages.index(name) for name in labels]]
+    features = kernel @ root
+    names, which, counts = np.unique(np.array(labels, dtype=object), return_inverse=True, return_counts=True)
+    target = np.where(names[which][:, None] == np.array(shell.languages, dtype=object)[None, :], 1.0, -1.0)
+    weight = (1.0 / counts)[which]  # each language weighs the same, however many rows it has
     weight /= weight.sum()
     middle, target_middle = weight @ features, weight @ target
     centred = features - middle
     gram = centred.T @ (centred * weight[:, None]) + ridge * np.eye(centred.shape[1])
     solved = np.linalg.solve(gram, (centred * weight[:, None]).T @ (target - target_middle))
-    return Model(languages, cells, scaled, root @ solved, target_middle - middle @ solved)
+    return Model(shell.languages, shell.cells, shell.landmarks, root @ solved, target_middle - middle @ solved)
+
 
+def _cells(text: Column) -> Column:
+    """array<int> of the text's n-gram cells, in order."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        flags = np.zeros(BUCKETS, bool)
+        for batch in batches:
+            out = []
+            for text in batch:
+                flags[:] = False
+                presence(text, flags)
+                out.append(np.flatnonzero(flags).astype(np.int32))
+            yield pd.Series(out, dtype=object)
+
+    return run(text)
 
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most per_language rows of each language, drawn by a hash of id: the counts thin the table first."""
-    labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    draw = F.xxhash64(F.col(id_col).cast("string"), F.lit("draw"))
-    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, 3.0 * per_language / n))]), F.col(lang_col)) if counts else F.lit(0.0)
-    thin = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), share.alias("share"))
-    thin = thin.filter(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+
+def _against(shell: Model):
+    def run(cells: pd.Series) -> pd.Series:
+        rows = np.zeros((len(cells), len(shell.cells)), bool)
+        for i, own in enumerate(cells):
+            rows[i] = np.isin(shell.cells, own, assume_unique=True)
+        return pd.Series(list(shell.kernel(rows, cells.map(len).to_numpy(float))), dtype=object)
+
+    return F.pandas_udf(run, "array<double>")
+
+
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """(lang, n, cells): at most per_language rows of each language, drawn by a hash of id; the counts thin the table first."""
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    labelled = labelled.filter(lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("draw")).alias("draw"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return None
+    each = min(per_language, max(1, SAMPLE // len(counts)))
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, 3.0 * each / n))]), F.col("lang"))
+    thin = labelled.filter(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
-    rows = thin.withColumn("n", first).filter(F.col("n") <= per_language).orderBy("lang", "n").select("text", "lang").collect()
-    return [r[0] for r in rows], [r[1] for r in rows]
+    drawn = thin.withColumn("n", first).filter(F.col("n") <= each)
+    return staged(drawn.select("lang", "n", _cells(F.col("text")).alias("cells")).filter(F.size("cells") > 0), "language-sample")
+
+
+def fit(sample: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """The model of a sample's rows (lang, n, cells); landmarks are the first rows of each language in turn."""
+    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    if not languages:
+        return None
+    chosen = sample.orderBy("n", "lang").limit(max(landmarks, len(languages))).collect()
+    shell = landmark_model(languages, [np.array(r["cells"], np.int64) for r in chosen])
+    rows = sample.select("lang", _against(shell)(F.col("cells")).alias("k")).orderBy("lang", "n").collect()
+    own = np.zeros((len(chosen), len(shell.cells)), bool)
+    for k, r in enumerate(chosen):
+        own[k, np.searchsorted(shell.cells, r["cells"])] = True
+    between = shell.kernel(own, np.array([float(len(r["cells"])) for r in chosen]))
+    return solve(shell, np.array([r["k"] for r in rows]), [r["lang"] for r in rows], between, ridge)
 
 
 def identify(text: Column, model: Model | None) -> Column:
@@ -162,13 +208,13 @@ def identify(text: Column, model: Model | None) -> Column:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """Fit on rows that are not held out, predict every row: doc_id, held_out, lang_pred, score. A null id isn't held out."""
     held = F.coalesce(held_out(id_col), F.lit(False))
-    texts, labels = training_sample(docs.filter(~held), id_col, text_col, lang_col, per_language)
-    model = fit(texts, labels)
-    scored = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), identify(F.col(text_col), model).alias("p"))
+    sample = training_sample(docs.filter(~held), id_col, text_col, lang_col, per_language)
+    model = fit(sample) if sample is not None else None
+    scored = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held.alias("held_out"), identify(F.col(f"`{text_col}`"), model).alias("p"))
     return scored.select("doc_id", "held_out", "p.lang_pred", "p.score")
