@@ -195,6 +195,66 @@ def test_html_marked_wrappers(page):
     assert html_extract.extract(page, None)[0] == PROSE.strip()
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><p>{PROSE}</p><div class=related-work><p>{PROSE}</p></div><div class=notice-of-award><p>{PROSE}</p></div></main>", [PROSE.strip()] * 3),
+        (f"<article><p>the <b class='share'>share</b> price {PROSE}</p></article>", [f"the share price {PROSE.strip()}"]),
+        (f"<article><p>{PROSE}</p><span class=ad-label>Advertisement</span><p>{PROSE}</p></article>", [PROSE.strip()] * 2),
+        (f"<div class='layout has-sidebar'><article><p>{PROSE}</p></article></div><div class=sidebar><p>{PROSE}</p></div>", [PROSE.strip()]),
+        (f"<div class='content no-comments'><p>{PROSE}</p></div>", [PROSE.strip()]),
+        (f"<article><div class=body><p>{PROSE}</p></div><h2>End</h2><div class=related-posts><p>{PROSE}</p></div></article>", [PROSE.strip(), "End"]),
+    ],
+)
+def test_html_words_are_evidence_only(page, text):
+    assert html_extract.extract(page, None)[0].split("\n\n") == text
+
+
+def test_html_article_is_one_vote(spark):
+    """A host whose teasers are articles: the vote of its other pages takes the text beside them."""
+    page = "<body><div class=text><p>{0}</p></div><div class=teasers><article><p>{1}</p></article></div>".format
+    rows = [(k, "http://h.example/x", page("m " * 90, "t " * 9)) for k in range(5)] + [(9, "http://h.example/y", page("m " * 9, "t " * 20)), (10, "http://other.example/y", page("m " * 9, "t " * 20))]
+    found = {r["page_id"]: r["text"] for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[9] == ("m " * 9).strip() and found[10] == ("t " * 20).strip()
+
+
+def test_html_votes_against_a_plain_count(spark):
+    rnd = random.Random(5)
+    part = lambda name: f"<div class={name}{rnd.randint(1, 9)}><p>{'w ' * rnd.randint(1, 30)}</p></div>"
+    rows = [(k, f"http://h{k % 4}.example/{k}", "<body>" + "".join(part(rnd.choice("abc")) for _ in range(5))) for k in range(80)]
+    tally = {}
+    for _, url, page in rows:
+        path, score = html_extract.best_path(html_extract.parsed(page))
+        host = url.split("/")[2]
+        tally[host, path] = tally.get((host, path), 0) + round(score)
+    want = {h: min((-n, p) for (host, p), n in tally.items() if host == h)[1] for h, _ in tally}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["host"]: r["path"] for r in html_extract.host_paths(pages).collect()} == want
+    got = {r["page_id"]: r["text"] for r in html_extract.main_texts(pages).collect()}
+    assert got == {k: html_extract.extract(page, want[url.split("/")[2]])[0] for k, url, page in rows}
+
+
+def test_html_rows(spark):
+    schema = "page_id long, url string, html string, host string, path string, v string, text string, n_chars string, x string"
+    rows = [(k, u, h, *"abcdef") for k, u, h in [(1, None, None), (2, "http://h/", ""), (3, "http://h/", "<p>a"), (3, "http://h/", "<p>a"), (None, "", "<p>b")]]
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.main_texts(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, "b", 1), (1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1)]
+    assert html_extract.main_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<div><p>x ", "<section><h2>t</h2><p>some text", "<main class=menu><p>a", "<ul><li>a", "<table><tr><td>a", "<b class=ad>x", "<div class=c><h1>a</h1></div><section>b"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_extract.extract(unit * n, None)
+        return time.process_time() - began
+
+    took(200)
+    assert took(16000) < 16 * max(took(4000), 0.02)
+
+
 # --- vectors
 
 
