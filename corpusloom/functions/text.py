@@ -35,15 +35,33 @@ ACCENT_BLOCKS = ((0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0,
 # Typographic quotes and dashes and their plain forms.
 PLAIN_SIGNS = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "‑": "-"}
 # Function words that mark a language; languages in this order, the first wins a tie.
-LANGUAGE_WORDS = {
-    "en": "the of and to in is that for with as are was on at by this be from or an",
-    "es": "el la de que y en los del las por con para una es se al lo como mas su",
-    "de": "der die das und in den von zu mit sich des auf ist im dem nicht ein eine als",
-    "fr": "le la les de et des en un une du dans est pour que qui sur au par pas",
-    "pt": "o a de que e do da em um para com nao uma os no se na por mais as",
-    "it": "il di che e la in un per con del una le da non sono si come piu al",
+LANGUAGE_WORDS: dict[str, tuple[str, ...]] = {
+    "en": (
+        "the", "of", "and", "to", "in", "is", "that", "for", "with", "as", "are", "was", "on", "at", "by", "this",
+        "be", "from", "or", "an",
+    ),
+    "es": (
+        "el", "la", "de", "que", "y", "en", "los", "del", "las", "por", "con", "para", "una", "es", "se", "al",
+        "lo", "como", "mas", "su",
+    ),
+    "de": (
+        "der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht",
+        "ein", "eine", "als",
+    ),
+    "fr": (
+        "le", "la", "les", "de", "et", "des", "en", "un", "une", "du", "dans", "est", "pour", "que", "qui", "sur",
+        "au", "par", "pas",
+    ),
+    "pt": (
+        "o", "a", "de", "que", "e", "do", "da", "em", "um", "para", "com", "nao", "uma", "os", "no", "se",
+        "na", "por", "mais", "as",
+    ),
+    "it": (
+        "il", "di", "che", "e", "la", "in", "un", "per", "con", "del", "una", "le", "da", "non", "sono", "si",
+        "come", "piu", "al",
+    ),
 }
-MARKERS = {code: frozenset(words.split()) for code, words in LANGUAGE_WORDS.items()}
+MARKERS = {code: frozenset(words) for code, words in LANGUAGE_WORDS.items()}
 ALL_MARKERS = frozenset().union(*MARKERS.values())
 
 TOKEN = r"[\p{L}\p{N}\p{M}]+"
@@ -162,7 +180,9 @@ def _normalize_any(texts: pd.Series) -> pd.Series:
 def normalize(text: Column) -> Column:
     """normalize_string as a column; Latin texts stay on the JVM."""
     native = lambda t: F.regexp_replace(F.translate(F.lower(t), "".join(_FOLDS), "".join(_FOLDS.values())), r"\s+", " ")
-    return F.coalesce(F.when(text.rlike(_NATIVE), native(text)), _normalize_any(F.when(~text.rlike(_NATIVE), text)))
+    # Not deterministic, for the planner: else each use of the result, in filters too, runs the function again.
+    other = F.when(~text.rlike(_NATIVE), text)
+    return F.coalesce(F.when(text.rlike(_NATIVE), native(text)), _normalize_any.asNondeterministic()(other))
 
 
 def tokens(text: Column) -> Column:

@@ -72,7 +72,7 @@ def toc_chapters(outline: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id").orderBy("page", "entry")
     picked = valid.join(chosen, ["doc_id", "level"]).withColumn("last_page", F.coalesce(F.lead("page").over(own) - 1, F.col("pages")))
     first = picked.groupBy("doc_id").agg(F.min("page").alias("page")).filter("page > 1")
-    before = first.select("doc_id", F.lit("Preliminares").alias("title"), F.lit(1).cast("long").alias("first_page"), (F.col("page") - 1).alias("last_page"), F.lit(-1).cast("long").alias("entry"))
+    before = first.select("doc_id", F.lit("Front matter").alias("title"), F.lit(1).cast("long").alias("first_page"), (F.col("page") - 1).alias("last_page"), F.lit(-1).cast("long").alias("entry"))
     after = picked.filter("last_page >= page").select("doc_id", F.trim("title").alias("title"), F.col("page").alias("first_page"), "last_page", "entry")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_page", "entry"))
     return after.unionByName(before).withColumn("chapter", number).drop("entry")
@@ -100,7 +100,7 @@ def manifest(records: DataFrame, by: tuple[str, ...] = (), digits: int = 6) -> D
 
     Each document is ok, unverifiable (there was nothing to measure against) or has findings.
     """
-    blind = ~F.col("ok") & F.col("status").isin("no-reference", "sin-lectura")
+    blind = ~F.col("ok") & F.col("status").isin("no-reference", "unread")
     ref, missing = F.sum(F.when(F.col("measurable"), F.col("ref_tokens"))), F.sum(F.when(F.col("measurable"), F.col("missing_tokens")))
     found = (records.groupBy(*by) if by else records.groupBy()).agg(
         F.count("*").alias("documents"), F.count_if("ok").alias("converted_ok"), F.count_if(blind).alias("unverifiable"),
@@ -138,9 +138,9 @@ def engine_order(kind: Column, needs_ocr: Column, drawing: Column) -> Column:
     names = lambda *engines: F.array(*[F.lit(e) for e in engines])
     return (
         F.when(kind.isin("text", "html") | drawing, names("native"))
-        .when(needs_ocr, names("docling-ocr", "native"))
-        .when(kind == "pdf", names("native", "hibrido", "docling"))
-        .otherwise(names("native", "docling"))
+        .when(needs_ocr, names("layout-ocr", "native"))
+        .when(kind == "pdf", names("native", "hybrid", "layout"))
+        .otherwise(names("native", "layout"))
     )
 
 

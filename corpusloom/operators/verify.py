@@ -24,16 +24,16 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({T.TOKEN})"), F.lit(1)), lambda t: F.lower(t))
 
 
-def bags(docs: DataFrame, text: Column, name: str) -> DataFrame:
-    """(doc_id, token, name): how often each token stands in the text."""
-    return docs.select("doc_id", F.explode(words(text)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias(name))
-
-
 def deficits(pairs: DataFrame) -> DataFrame:
-    """(doc_id, token, ref, got) for the tokens of the reference; pairs has doc_id, reference, markdown."""
-    ref = bags(pairs, F.col("reference"), "ref")
-    got = bags(pairs, T.strip_markdown_noise(F.col("markdown")), "got")
-    return ref.join(got, ["doc_id", "token"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    """(doc_id, token, ref, got) for the tokens of the reference; pairs has doc_id, reference, markdown.
+
+    Both texts' tokens are counted in one aggregate, a document's in the task that holds it.
+    """
+    side = lambda text, of_ref: F.transform(words(text), lambda t: F.struct(t.alias("token"), F.lit(of_ref).alias("of_ref")))
+    none = F.array().cast("array<struct<token:string,of_ref:boolean>>")
+    both = F.concat(F.coalesce(side(F.col("reference"), True), none), F.coalesce(side(T.strip_markdown_noise(F.col("markdown")), False), none))
+    tokens = pairs.select("doc_id", F.explode(both).alias("t")).groupBy("doc_id", "t.token")
+    return tokens.agg(F.count_if("t.of_ref").alias("ref"), F.count_if(~F.col("t.of_ref")).alias("got")).filter("ref > 0")
 
 
 def compare(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -60,8 +60,8 @@ def status(coverage: Column, numeric: Column) -> Column:
 
 
 def final_status(state: Column, md_tokens: Column, engine_read: Column) -> Column:
-    """no-reference becomes sin-lectura under a few tokens, only-ocr otherwise if an engine read the file."""
-    return F.when((state == "no-reference") & (md_tokens < FEW_TOKENS), "sin-lectura").when((state == "no-reference") & engine_read, "only-ocr").otherwise(state)
+    """no-reference becomes unread under a few tokens, only-ocr otherwise if an engine read the file."""
+    return F.when((state == "no-reference") & (md_tokens < FEW_TOKENS), "unread").when((state == "no-reference") & engine_read, "only-ocr").otherwise(state)
 
 
 def structure(markdown: Column) -> Column:
@@ -79,7 +79,7 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
 
 def good_enough(state: Column, usable: Column, structured: Column, engine: Column, unresolved: Column) -> Column:
     resolved = F.coalesce(F.size(unresolved) == 0, F.lit(False))
-    return (state == "ok") & usable & (structured > 0) & (engine.startswith("docling") | (engine == "hibrido") | resolved)
+    return (state == "ok") & usable & (structured > 0) & (engine.startswith("layout") | (engine == "hybrid") | resolved)
 
 
 def recovered(reference: str, markdown: str, ratio: float = LINE_RATIO) -> tuple[list[str], list[str]]:

@@ -24,7 +24,7 @@ def convert_folder(spark: SparkSession, folder: str, only: str = "*", previous:
     checked = verify.compare(pairs)
     rest = verify.recovery(pairs)
     records = named.join(checked, "doc_id").join(rest, "doc_id").join(files.select("path", "digest", "size"), "path")
-    annex = F.concat(F.lit("\n\n---\n\n## Anexo de recuperacion\n\n```text\n"), F.array_join("lines", "\n"), F.lit("\n```\n"))
+    annex = F.concat(F.lit("\n\n---\n\n## Recovered lines\n\n```text\n"), F.array_join("lines", "\n"), F.lit("\n```\n"))
     whole = F.when(F.size("lines") > 0, F.concat("markdown", annex)).otherwise(F.col("markdown"))
     state = F.when(F.col("error").isNotNull(), "error").otherwise(verify.final_status(F.col("status"), F.col("md_tokens"), F.lit(False)))
     tight = records.withColumn("status", state).withColumn("_c", compact.compact(whole))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import bm25, dense, fuse, geometry, index, literal, planning, verify
+from .session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,8 +66,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return index.tokenized(index.passages(docs, "line"))
+    """The passages with their tokens, as a package stores them: made by the first question, read by all."""
+    docs = lambda: _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return stored(spark, ("tokens", sf_dir), lambda: index.tokenized(index.passages(docs(), "line")))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +325,7 @@ def chapter_plan_blocks(spark, sf_dir):
     return planning.block_chapters(_table(spark, sf_dir, "documents"), F.col("n_chars"))
 
 
-@query("WITH o AS (SELECT conv_id AS doc_id, turn + 1 AS entry, turn * 7 + 2 AS page, role AS title, max(turn * 7 + 2) OVER (PARTITION BY conv_id) + 9 AS pages FROM conversations), l AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page, entry) - 1, pages) AS last_page FROM o), u AS (SELECT doc_id, title, page AS first_page, last_page, entry FROM l WHERE last_page >= page UNION ALL SELECT doc_id, 'Preliminares', 1, min(page) - 1, -1 FROM o GROUP BY doc_id HAVING min(page) > 1) SELECT doc_id, title, first_page, last_page, row_number() OVER (PARTITION BY doc_id ORDER BY first_page, entry)::INT AS chapter FROM u")
+@query("WITH o AS (SELECT conv_id AS doc_id, turn + 1 AS entry, turn * 7 + 2 AS page, role AS title, max(turn * 7 + 2) OVER (PARTITION BY conv_id) + 9 AS pages FROM conversations), l AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page, entry) - 1, pages) AS last_page FROM o), u AS (SELECT doc_id, title, page AS first_page, last_page, entry FROM l WHERE last_page >= page UNION ALL SELECT doc_id, 'Front matter', 1, min(page) - 1, -1 FROM o GROUP BY doc_id HAVING min(page) > 1) SELECT doc_id, title, first_page, last_page, row_number() OVER (PARTITION BY doc_id ORDER BY first_page, entry)::INT AS chapter FROM u")
 def chapter_plan_toc(spark, sf_dir):
     """CHP1, WN5: chapters from an outline, turns standing for its entries."""
     page = F.col("turn") * 7 + 2

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any size; partition sizes are the cluster's business.
 SETTINGS = {
@@ -19,3 +22,27 @@ def session(app: str = "corpusloom", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is only taken with a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+_STORED: dict[tuple[str, ...], str] = {}
+
+
+def stored(spark: SparkSession, key: tuple[str, ...], make) -> DataFrame:
+    """The table that make() gives, written to the shared folder once for each key and application, then read."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

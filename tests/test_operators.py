@@ -135,13 +135,13 @@ def test_chapters(spark):
     assert [tuple(r)[1:] for r in planning.block_chapters(docs, F.col("pages")).orderBy("chapter").collect()] == [(1, 1, 25), (2, 26, 50), (3, 51, 60)]
     outline = [(1, 100, 1, "Whole", 3, 1), (1, 100, 2, "A", 5, 2), (1, 100, 2, "B", 5, 3), (1, 100, 2, "C", 40, 4)]
     found = planning.toc_chapters(spark.createDataFrame(outline, "doc_id long, pages long, level int, title string, page long, entry long"))
-    assert [(r["title"], r["first_page"], r["last_page"]) for r in found.orderBy("chapter").collect()] == [("Preliminares", 1, 4), ("B", 5, 39), ("C", 40, 100)]
+    assert [(r["title"], r["first_page"], r["last_page"]) for r in found.orderBy("chapter").collect()] == [("Front matter", 1, 4), ("B", 5, 39), ("C", 40, 100)]
     parts = planning.refined_chapters(found).orderBy("chapter").collect()
     assert [(r["title"], r["first_page"], r["last_page"]) for r in parts][-3:] == [("C", 40, 69), ("C (cont. 2)", 70, 99), ("C (cont. 3)", 100, 100)]
 
 
 def test_manifest_partitions_documents(spark):
-    rows = [(True, "ok", True, 1.0, 10, 0), (False, "fail", True, 0.5, 10, 5), (False, "no-reference", False, None, 0, 0), (False, "sin-lectura", False, None, 0, 0), (True, "only-ocr", False, None, 0, 0)]
+    rows = [(True, "ok", True, 1.0, 10, 0), (False, "fail", True, 0.5, 10, 5), (False, "no-reference", False, None, 0, 0), (False, "unread", False, None, 0, 0), (True, "only-ocr", False, None, 0, 0)]
     r = planning.manifest(spark.createDataFrame(rows, "ok boolean, status string, measurable boolean, coverage double, ref_tokens long, missing_tokens long")).first()
     assert (r["documents"], r["converted_ok"], r["unverifiable"], r["with_findings"], r["global_token_coverage"]) == (5, 2, 2, 1, 0.75)
 
@@ -179,7 +179,7 @@ EPUB = _zip(mimetype="application/epub+zip", **{"OEBPS/content.opf": '<package><
 
 def test_readers():
     assert readers.docx_text(DOCX) == "Title\nText\ncell" and readers.docx_markdown(DOCX) == "## Title\n\nText\n\n| cell |\n|---|"
-    assert readers.xlsx_text(XLSX) == "S\nhead\n7" and readers.xlsx_markdown(XLSX) == "## Hoja: S\n\n| head |  | 7 |\n|---|---|---|"
+    assert readers.xlsx_text(XLSX) == "S\nhead\n7" and readers.xlsx_markdown(XLSX) == "## Sheet: S\n\n| head |  | 7 |\n|---|---|---|"
     assert readers.epub_text(EPUB) == "two & more\n\none\n\nthree"
     assert [readers.archive_format(c) for c in (DOCX, XLSX, EPUB, b"PK\x03\x04bad")] == ["docx", "xlsx", "epub", None]
     assert readers.decode("é".encode()) == "é" and readers.decode(b"\xe9") == "é"
@@ -246,7 +246,7 @@ def test_planning_rules(spark):
         planning.engine_order(F.lit("pdf"), F.lit(True), F.lit(False)).alias("scan"), planning.engine_order(F.lit("pdf"), F.lit(False), planning.is_drawing(F.lit("pdf"), F.lit(1), F.lit(2))).alias("drawing"),
         planning.slug(F.lit(3), F.lit(' a/b: "c" '), F.lit(1), F.lit(9)).alias("slug"), planning.slug(F.lit(3), F.lit("??"), F.lit(1), F.lit(9)).alias("bare"),
     ).first()
-    assert row["scan"] == ["docling-ocr", "native"] and row["drawing"] == ["native"] and row["slug"] == "03 - a b c" and row["bare"] == "03 - Paginas 1-9"
+    assert row["scan"] == ["layout-ocr", "native"] and row["drawing"] == ["native"] and row["slug"] == "03 - a b c" and row["bare"] == "03 - Paginas 1-9"
     pages = spark.createDataFrame([(1, 1, "x" * 30, 0), (1, 2, " a ", 1)], "doc_id int, page int, text string, images int")
     assert planning.page_summary(pages).first()["needs_ocr"]
     chapters = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 2, 5)], "doc_id int, chapter int, first_page int, last_page int")
