@@ -52,6 +52,11 @@ def estimated_cost(pages: Column, size: Column) -> Column:
     return F.coalesce(pages.cast("double"), size / 100_000)
 
 
+def by_cost(jobs: DataFrame, *ties: str) -> DataFrame:
+    """jobs in the order in which they run: cheap ones first."""
+    return jobs.orderBy("cost", *ties)
+
+
 def block_chapters(docs: DataFrame, pages: Column, block: int = BLOCK, least: int = SPLIT_FROM) -> DataFrame:
     """(doc_id, chapter, first_page, last_page): fixed ranges for documents of `least` pages or more."""
     long = docs.select("doc_id", pages.alias("pages")).filter(F.col("pages") >= least)

@@ -410,3 +410,177 @@ def slot_range_join(spark, sf_dir):
     intervals = geometry.slots(bounds, ("page",), "bound").drop("page")
     found = geometry.bucketed_slot_join(_table(spark, sf_dir, "events").select("event_id", "value"), intervals, "value", 10.0)
     return found.select("event_id", F.col("slot").cast("int").alias("slot"))
+
+
+# --- files, attempts and pages: rows of the tables stand for files and pages -------------------
+
+
+_FILES = r"(SELECT page_id, url, coalesce(CASE lower(regexp_extract(regexp_extract(url, '^[^:]+://([^?#]*)', 1), '\.([A-Za-z0-9]+)$', 1)) WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' END, 'pdf') AS kind, length(html) AS size, length(html) // 2000 AS pages, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS characters, len(regexp_extract_all(html, '<a ')) AS images FROM pages)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, kind, size, pages, characters, images): web pages taken as files, unknown ones as PDFs, links as images."""
+    kind = F.coalesce(planning.format_of(F.regexp_extract("url", r"^[^:]+://([^?#]*)", 1)), F.lit("pdf"))
+    length = F.length("html")
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", kind.alias("kind"), length.cast("long").alias("size"), F.floor(length / 2000).alias("pages"),
+        F.length(F.regexp_replace("html", "<[^>]*>", "")).alias("characters"), F.regexp_count("html", F.lit("<a ")).alias("images"),
+    )
+
+
+@query(f"WITH f AS {_FILES} SELECT page_id, CASE WHEN kind = 'pdf' AND pages <= 2 AND images > 0 THEN 'cpu' WHEN kind = 'pdf' AND characters < 60 * pages THEN 'gpu' ELSE 'cpu' END AS lane, coalesce(kind = 'pdf' AND pages > 0 AND pages <= 2 AND images > 0, false) AS drawing, round(coalesce(pages, size / 100000), 6)::DOUBLE AS cost FROM f ORDER BY cost, page_id")
+def job_schedule(spark, sf_dir):
+    """SCH1, FLT8, SO7: lane, drawing and cost of each job, cheap ones first."""
+    files = _files(spark, sf_dir)
+    drawing = planning.is_drawing(F.col("kind"), F.col("pages"), F.col("images"))
+    jobs = files.select("page_id", planning.lane(F.col("kind"), F.col("pages"), F.col("characters"), F.col("images")).alias("lane"), drawing.alias("drawing"), planning.estimated_cost(F.col("pages"), F.col("size")).alias("cost"))
+    return planning.by_cost(jobs, "page_id")
+
+
+@query(f"WITH f AS {_FILES} SELECT page_id, CASE WHEN kind IN ('text', 'html') OR (kind = 'pdf' AND pages BETWEEN 1 AND 2 AND images > 0) THEN 'native' WHEN characters < 20 THEN 'layout-ocr,native' WHEN kind = 'pdf' THEN 'native,hybrid,layout' ELSE 'native,layout' END AS engines FROM f")
+def engine_candidates(spark, sf_dir):
+    """CNV1: the engines to try on each file, in order."""
+    drawing = planning.is_drawing(F.col("kind"), F.col("pages"), F.col("images"))
+    order = planning.engine_order(F.col("kind"), F.col("characters") < 20, drawing)
+    return _files(spark, sf_dir).select("page_id", F.array_join(order, ",").alias("engines"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'pdf' END AS format FROM pages")
+def format_sniffed(spark, sf_dir):
+    """SRC3: formats by signature; every second page is given that of a PDF."""
+    from .sources.readers import sniffed
+
+    content = F.encode(F.concat(F.when(F.col("page_id") % 2 == 0, "%PDF-1.7\n").otherwise("\n"), F.coalesce("html", F.lit(""))), "UTF-8")
+    return _table(spark, sf_dir, "pages").select("page_id", sniffed(content).alias("format"))
+
+
+_ATTEMPTS = r"(SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'ok' WHEN l.quality = 0 THEN 'warn' ELSE 'no-reference' END AS state, n_chars > 200 AS usable, len(regexp_extract_all(text, '(?m)^\s*[-*+]\s+\S')) AS structured, CASE d.doc_id % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'hybrid' ELSE 'layout' END AS engine, CASE WHEN n_chars % 2 = 0 THEN [] WHEN n_chars % 3 = 0 THEN [1] END AS unresolved, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+')) AS md_tokens, len(regexp_extract_all(text, '(?m)^\s*\|')) AS table_rows, CASE WHEN l.toxic = 1 THEN ['layout', 'hybrid'] WHEN l.quality = 0 THEN ['native'] ELSE [] END AS failed FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as attempts at conversion, their labels as verdicts."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    names = lambda *engines: F.array(*[F.lit(e) for e in engines]).cast("array<string>")
+    turn = F.col("doc_id") % 3
+    count = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0))
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id", F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "warn").otherwise("no-reference").alias("state"), (F.col("n_chars") > 200).alias("usable"),
+        count(r"(?m)^\s*[-*+]\s+\S").alias("structured"), F.when(turn == 0, "native").when(turn == 1, "hybrid").otherwise("layout").alias("engine"),
+        F.when(F.col("n_chars") % 2 == 0, F.array().cast("array<int>")).when(F.col("n_chars") % 3 == 0, F.array(F.lit(1))).alias("unresolved"),
+        F.size(verify.words(F.col("text"))).alias("md_tokens"), count(r"(?m)^\s*\|").cast("long").alias("table_rows"),
+        F.when(F.col("toxic") == 1, names("layout", "hybrid")).when(F.col("quality") == 0, names("native")).otherwise(names()).alias("failed_engines"),
+    )
+
+
+@query(f"SELECT doc_id, state = 'ok' AND usable AND structured > 0 AND (engine IN ('layout', 'hybrid') OR coalesce(len(unresolved) = 0, false)) AS good FROM {_ATTEMPTS}")
+def good_enough(spark, sf_dir):
+    """FLT9: whether an attempt ends the search for a better one."""
+    good = verify.good_enough(F.col("state"), F.col("usable"), F.col("structured"), F.col("engine"), F.col("unresolved"))
+    return _attempts(spark, sf_dir).select("doc_id", good.alias("good"))
+
+
+@query(f"SELECT doc_id, CASE WHEN state = 'no-reference' AND md_tokens < 15 THEN 'unread' WHEN state = 'no-reference' AND engine = 'layout' THEN 'only-ocr' ELSE state END AS status FROM {_ATTEMPTS}")
+def final_status(spark, sf_dir):
+    """VER4: the verdict on conversions without a reference."""
+    return _attempts(spark, sf_dir).select("doc_id", verify.final_status(F.col("state"), F.col("md_tokens"), F.col("engine") == "layout").alias("status"))
+
+
+@query(f"SELECT count(*) FILTER (len(failed) > 0) AS with_failed_engines, (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT DISTINCT unnest(failed) AS e FROM {_ATTEMPTS})) AS engines, coalesce(sum(table_rows), 0)::BIGINT AS table_rows, count(*) FILTER (table_rows > 0) AS with_tables FROM {_ATTEMPTS}")
+def run_counters(spark, sf_dir):
+    """AG14: failed engines and table rows of a run."""
+    return planning.engine_counters(_attempts(spark, sf_dir)).withColumn("engines", F.array_join("engines", ","))
+
+
+@query(r"WITH p AS (SELECT conv_id, turn, text, length(regexp_replace(text, '\s', '', 'g')) < 20 AS bare FROM conversations) SELECT conv_id, count(*) AS pages, count(*) FILTER (bare) AS pages_without_text, count(*) FILTER (bare) > 0 AS needs_ocr, sum(turn % 2)::BIGINT AS images, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM p GROUP BY conv_id")
+def page_summary(spark, sf_dir):
+    """SRC11: a document's text and scan state from its pages' texts, turns standing for pages."""
+    pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text", (F.col("turn") % 2).alias("images"))
+    return planning.page_summary(pages).select(F.col("doc_id").alias("conv_id"), "pages", "pages_without_text", "needs_ocr", "images", F.md5("text").alias("digest"))
+
+
+@query("SELECT conv_id, turn + 1 AS page, (turn // 2 + 1)::INT AS chapter FROM conversations")
+def chapter_pages(spark, sf_dir):
+    """SRC14, CHP3: the pages that each chapter's job reads, two turns a chapter."""
+    pages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"))
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
+    chapters = planning.block_chapters(last, F.col("n"), block=2, least=1)
+    return planning.page_ranges(pages, chapters).select(F.col("doc_id").alias("conv_id"), "page", "chapter")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS digest FROM documents WHERE lang = 'es'")
+def document_lookup(spark, sf_dir):
+    """FLT6, RT13: every document of a name, languages standing for names."""
+    from .sources.store import document
+
+    docs = _table(spark, sf_dir, "documents")
+    named = docs.select("doc_id", F.col("lang").alias("name"), F.concat(F.lit("@/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("pseudopath"))
+    return document({"document": named, "passage": docs.select("doc_id", F.lit(0).alias("position"), "text")}, "es").select("doc_id", F.md5("text").alias("digest"))
+
+
+# --- text forms -------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, 'th', '漢字'), '([漢字])', chr(1) || '\1' || chr(1), 'g'), '\x01+', chr(1), 'g'), '(^|\s)\x01', '\1', 'g'), '\x01(\s|$)', '\1', 'g'), chr(1), ' ')) AS digest FROM documents")
+def segmented(spark, sf_dir):
+    """TX3: spaces around the characters of unspaced scripts, which stand for every th."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.segment(F.replace("text", F.lit("th"), F.lit("漢字")))).alias("digest"))
+
+
+@query(r"SELECT conv_id, turn, i - 1 AS position, b[i] AS block FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || ' ' || chr(10) || '  '), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM conversations))")
+def paragraph_split(spark, sf_dir):
+    """TX9: blocks between blank lines, trimmed; each sentence is made one."""
+    text = F.replace("text", F.lit(". "), F.lit(".\n \n  "))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.paragraphs(text)).alias("position", "block")).withColumn("position", F.col("position").cast("long"))
+
+
+@query(r"SELECT conv_id, turn, i - 1 AS position, b[i] AS block FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM (SELECT conv_id, turn, list_filter(string_split(replace(text, '. ', '.' || chr(10) || chr(10) || '  '), chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')) AS b FROM conversations))")
+def block_split(spark, sf_dir):
+    """TX10: blocks between empty lines, as they stand."""
+    text = F.replace("text", F.lit(". "), F.lit(".\n\n  "))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.blocks(text)).alias("position", "block")).withColumn("position", F.col("position").cast("long"))
+
+
+@query("SELECT page_id, '@/' || url AS pseudopath, url AS back, NULL::VARCHAR AS plain FROM pages")
+def pseudopaths(spark, sf_dir):
+    """TX14: to a pseudopath and back; a plain path has none."""
+    path = T.to_pseudopath(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", path.alias("pseudopath"), T.from_pseudopath(path).alias("back"), T.from_pseudopath(F.col("url")).alias("plain"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, 14 * n_chars + 1 AS size, CASE WHEN lang IS NOT NULL THEN (doc_id % 98) / 97.0::DOUBLE END AS share FROM documents) SELECT doc_id, md5('"' || replace(replace(text, '\', '\\'), '"', '\"') || '"') AS yaml, md5(trim(regexp_replace(replace(text, '|', '\|'), '\s+', ' ', 'g'))) AS cell, CASE WHEN share IS NULL THEN 'n/d' ELSE printf('%.2f%%', share * 100) END AS percent, CASE WHEN size < 1024 THEN printf('%d B', size) WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) ELSE printf('%.1f MB', size / 1048576.0::DOUBLE) END AS size FROM d""")
+def report_forms(spark, sf_dir):
+    """TX15: quoted values, table cells, percentages, sizes."""
+    share = F.when(F.col("lang").isNotNull(), (F.col("doc_id") % 98) / F.lit(97.0))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(T.escape_yaml(F.col("text"))).alias("yaml"), F.md5(T.escape_cell(F.col("text"))).alias("cell"), T.percent(share).alias("percent"), T.file_size(14 * F.col("n_chars") + 1).alias("size")
+    )
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'sent|emitido|outgoing') THEN 'SENT' WHEN regexp_matches(lower(text), 'received|recibido|incoming') THEN 'RECEIVED' ELSE 'OTHER' END AS direction FROM conversations")
+def directions(spark, sf_dir):
+    """TX16: the direction by a folder's name, texts standing for names."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.direction(F.col("text")).alias("direction"))
+
+
+@query("SELECT conv_id, turn, role = 'user' AS announced FROM conversations")
+def captions(spark, sf_dir):
+    """TBL5: captions of tables; the user's turns begin with one, the others only mention a table."""
+    text = F.when(F.col("role") == "user", F.concat(F.lit("\n Table 3."), F.col("turn").cast("string"), F.lit(": "), F.col("text"))).otherwise(F.concat(F.lit("see Table 3 for "), F.col("text")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", geometry.announces_table(text).alias("announced"))
+
+
+@query("WITH c AS (SELECT item_id, i, text[i] AS ch FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)), w AS (SELECT *, regexp_matches(ch, '^\\s*$') AS blank, sum(CASE WHEN regexp_matches(ch, '^\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY i) AS word FROM c) SELECT item_id, string_agg(ch, '' ORDER BY i) AS text, min(4.0 * i - 4)::DOUBLE AS \"left\", max(4.0 * i)::DOUBLE AS \"right\" FROM w WHERE NOT blank GROUP BY item_id, word")
+def page_words(spark, sf_dir):
+    """WN9: words and their boxes from characters, each four points wide."""
+    chars = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "")).alias("idx", "ch"))
+    at = F.col("idx") * F.lit(4.0)
+    boxes = chars.select("item_id", "idx", "ch", at.alias("left"), F.lit(0.0).alias("bottom"), (at + 4).alias("right"), F.lit(8.0).alias("top"))
+    return geometry.words(boxes, ("item_id",)).select("item_id", "text", "left", "right")
+
+
+@query("WITH b AS (SELECT conv_id, turn, role AS text, 10.0 * (turn % 2) AS l, 1000 - 7.5 * (turn // 2) * (turn // 2 + 1) / 2 AS t FROM conversations), d AS (SELECT *, lag(t) OVER w - t AS d FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY t DESC, l)), i AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 2 THEN 1 ELSE 0 END) OVER w AS line, sum(CASE WHEN d IS NULL OR d > 14 THEN 1 ELSE 0 END) OVER w AS paragraph FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY t DESC, l ROWS UNBOUNDED PRECEDING)), s AS (SELECT conv_id, paragraph, line, string_agg(text, ' ' ORDER BY l, text) AS text FROM i GROUP BY ALL) SELECT conv_id, paragraph::BIGINT AS paragraph, string_agg(text, chr(10) ORDER BY line) AS text FROM s GROUP BY conv_id, paragraph")
+def page_paragraphs(spark, sf_dir):
+    """WN8, SRC13: lines and paragraphs by gaps; two turns a line, gaps that grow down the page."""
+    line = F.floor(F.col("turn") / 2)
+    blocks = _table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("text"), (F.lit(10.0) * (F.col("turn") % 2)).alias("left"), (F.lit(1000.0) - F.lit(7.5) * line * (line + 1) / 2).alias("top"))
+    return geometry.paragraphs(blocks, ("conv_id",))
