@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 from .plans.convert import convert_folder
+from .plans.report import write_tree
 from .plans.search import Corpus
 from .session import session
 from .sources import store
@@ -49,6 +50,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--only", default="*")
+    p.add_argument("--limit", type=int, help="the first files by path")
     p = sub.add_parser("find")
     p.add_argument("phrases", nargs="+")
     p.add_argument("--output", required=True)
@@ -87,9 +89,11 @@ def main(argv: list[str] | None = None) -> int:
         for row in corpus.query(args.query, args.limit, args.only, args.mode).collect():
             safe_print(f"{row['name']} ({row['source']}): {row['text']}")
     elif args.command == "convert":
-        records = convert_folder(spark, args.input, args.only)
-        records.write.mode("overwrite").parquet(args.output)
-        return 0 if spark.read.parquet(args.output).filter("NOT ok").isEmpty() else 1
+        table = f"{args.output.rstrip('/')}/_records"
+        convert_folder(spark, args.input, args.only, limit=args.limit).write.mode("overwrite").parquet(table)
+        records = spark.read.parquet(table)
+        safe_print(json.dumps(write_tree(records, args.output), indent=2, default=str))
+        return 0 if records.filter("NOT ok").isEmpty() else 1
     else:
         corpus = Corpus(store.load_documents(spark, args.output))
         for phrase in args.phrases:

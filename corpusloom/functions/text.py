@@ -116,6 +116,17 @@ def expand_terms(terms: Iterable[str], language: str | None = None, glossary: Ma
     return list(dict.fromkeys(wanted)) or list(dict.fromkeys(terms))
 
 
+def load_glossary(path: str) -> dict[str, list[str]]:
+    """Equivalents by lower-case term from a JSON object of lists; anything else is refused."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, dict) or not all(isinstance(v, list) for v in found.values()):
+        raise ValueError("a glossary is a JSON object whose values are lists")
+    return {k.lower(): [str(x) for x in v] for k, v in found.items()}
+
+
 def query_terms(query: str, language: str | None = None, glossary: Mapping[str, list[str]] | None = None) -> list[str]:
     return expand_terms([t for t in tokenize_string(normalize_string(query)) if searchable(t)], language, glossary)
 
@@ -185,6 +196,17 @@ def normalize(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(_NATIVE), native(text)), _normalize_any.asNondeterministic()(other))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """Unicode's composed form; ASCII texts stay as they are and don't leave the JVM."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.coalesce(F.when(plain, text), _composed.asNondeterministic()(F.when(~plain, text)))
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and marks; a run with a character of an unspaced script falls into characters."""
     runs = lambda t: F.regexp_extract_all(t, F.lit(f"({TOKEN})"), F.lit(1))
@@ -280,6 +302,18 @@ def escape_cell(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(value, F.lit("|"), F.lit("\\|")), r"\s+", " "))
 
 
+def relative_link(folder: Column, target: Column) -> Column:
+    """The way from a folder to a file ('.' is the root), each part quoted as in a URL."""
+    parts = lambda c: F.when(c.isin("", "."), F.array().cast("array<string>")).otherwise(F.split(c, "/"))
+    here, there = parts(folder), F.split(target, "/")
+    together = F.arrays_zip(here.alias("a"), F.slice(there, 1, F.size(there) - 1).alias("b"))
+    marks = F.transform(together, lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)))
+    shared = let(marks, lambda m: F.when(F.exists(m, lambda x: ~x), F.array_position(m, F.lit(False)) - 1).otherwise(F.size(m).cast("long"))).cast("int")
+    up = F.array_repeat(F.lit(".."), F.size(here) - shared)
+    quoted = F.transform(F.slice(there, shared + 1, F.size(there)), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")))
+    return F.array_join(F.concat(up, quoted), "/")
+
+
 def percent(value: Column) -> Column:
     return F.when(value.isNull(), "n/d").otherwise(F.concat(F.format_string("%.2f", value * 100), F.lit("%")))
 

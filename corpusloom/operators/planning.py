@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Pages.
 SPLIT_FROM, TARGET, BLOCK = 60, 30, 25
 LEVEL_MEAN = TARGET * 1.6
+# Fixed value: a page with fewer characters than this has no text.
+BARE_PAGE = 20
 # Formats by extension.
 FORMATS = {
     "pdf": "pdf", "docx": "docx", "docm": "docx", "xlsx": "xlsx", "xlsm": "xlsx", "pptx": "pptx", "pptm": "pptx",
@@ -26,10 +30,10 @@ def format_of(path: Column) -> Column:
 
 
 def targets(jobs: DataFrame, path_col: str = "path") -> DataFrame:
-    """jobs with target: the path with .md; colliding ones (by case-folded target) keep their extension in the name."""
+    """jobs with target: the path with .md; colliding ones (by composed, case-folded target) keep their extension in the name."""
     stem, ext = F.regexp_replace(path_col, r"\.[A-Za-z0-9]+$", ""), extension(F.col(path_col))
     plain = jobs.withColumn("target", F.concat(stem, F.lit(".md")))
-    n = F.count("*").over(Window.partitionBy(F.lower("target")))
+    n = F.count("*").over(Window.partitionBy(F.lower(T.composed(F.col("target")))))
     return plain.withColumn("collides", n > 1).withColumn("target", F.when(F.col("collides") & (ext != ""), F.concat(stem, F.lit("__"), ext, F.lit(".md"))).otherwise(F.col("target")))
 
 
@@ -155,7 +159,7 @@ def page_ranges(pages: DataFrame, chapters: DataFrame) -> DataFrame:
     return pages.join(chapters.select("doc_id", "chapter", "first_page", "last_page"), "doc_id").filter(inside).drop("first_page", "last_page")
 
 
-def page_summary(pages: DataFrame, blank: int = 20) -> DataFrame:
+def page_summary(pages: DataFrame, blank: int = BARE_PAGE) -> DataFrame:
     """(doc_id, pages, pages_without_text, needs_ocr, images, text) from (doc_id, page, text, images)."""
     bare = F.length(F.regexp_replace("text", r"\s", "")) < blank
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +20,8 @@ SAMPLE = 25
 FEW_TOKENS = 15
 LINE_RATIO = 0.5
 DIGITS = 6
+# What headings, tables and list items add to a text's structure.
+STRUCTURE = {r"(?m)^#{1,6}\s+\S": 2, r"(?m)^\s*\|[-: |]+\|\s*$": 5, r"(?m)^\s*[-*+]\s+\S": 1}
 
 
 def words(text: Column) -> Column:
@@ -66,8 +71,7 @@ def final_status(state: Column, md_tokens: Column, engine_read: Column) -> Colum
 
 def structure(markdown: Column) -> Column:
     """2 x headings + 5 x tables + list items."""
-    count = lambda p: F.regexp_count(markdown, F.lit(p))
-    return 2 * count(r"(?m)^#{1,6}\s+\S") + 5 * count(r"(?m)^\s*\|[-: |]+\|\s*$") + count(r"(?m)^\s*[-*+]\s+\S")
+    return reduce(add, (F.regexp_count(markdown, F.lit(p)) * n for p, n in STRUCTURE.items()))
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:
@@ -82,11 +86,28 @@ def good_enough(state: Column, usable: Column, structured: Column, engine: Colum
     return (state == "ok") & usable & (structured > 0) & (engine.startswith("layout") | (engine == "hybrid") | resolved)
 
 
+def judged(reference: str, markdown: str) -> dict:
+    """The verdict on one conversion, where it is made: status, coverage, usable, structured."""
+    count = lambda s: Counter(t.lower() for t in T._TOKEN_PY.findall(s))
+    want, got = count(reference), count(re.sub(T.MARKDOWN_NOISE, " ", markdown))
+
+    def share(wanted: Counter) -> float | None:
+        return round((wanted & got).total() / wanted.total(), DIGITS) if wanted else None
+
+    coverage, numeric = share(want), share(Counter({t: n for t, n in want.items() if any(c.isdecimal() for c in t)}))
+    if coverage is None:
+        state = "no-reference"
+    elif coverage < COVERAGE_OK:
+        state = "warn" if coverage >= COVERAGE_WARN else "fail"
+    else:
+        state = "warn" if numeric is not None and numeric < COVERAGE_WARN else "ok"
+    usable = bool(markdown.strip()) if coverage is None else coverage >= USABLE
+    return {"status": state, "coverage": coverage, "usable": usable, "structured": sum(n * len(re.findall(p, markdown)) for p, n in STRUCTURE.items())}
+
+
 def recovered(reference: str, markdown: str, ratio: float = LINE_RATIO) -> tuple[list[str], list[str]]:
     """Lines of the reference that supply missing tokens, in order, and the tokens still missing, sorted."""
     tokens = lambda s: Counter(t.lower() for t in T._TOKEN_PY.findall(s))
-    import re
-
     short = tokens(reference) - tokens(re.sub(T.MARKDOWN_NOISE, " ", markdown))
     lines = []
     for line in map(str.strip, reference.splitlines()):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index
+from . import readers
 
 MAGIC = b"CLOM"
 SCRYPT = {"n": 1 << 15, "r": 8, "p": 1}
@@ -33,9 +34,7 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     Files named 00_* and folders named _* are not documents; a front matter is left out of text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
-    root = folder.rstrip("/").rpartition("/")[2]
-    rel = F.url_decode(F.replace(F.regexp_extract("path", f".*?/{root}/(.*)$", 1), F.lit("+"), F.lit("%2B")))
-    found = files.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("whole"))
+    found = files.select(readers.relative(spark, folder).alias("rel"), F.decode("content", "UTF-8").alias("whole"))
     found = found.filter(~F.col("rel").startswith("_") & ~F.col("rel").rlike(r"(^|/)00_[^/]*$"))
     second = F.locate("---", F.col("whole"), 4)
     text = F.when(F.col("whole").startswith("---") & (second > 0), F.substring("whole", second + 3, F.length("whole"))).otherwise(F.col("whole"))
