@@ -1,4 +1,4 @@
-"""Command line: pack, keygen, verify, info, export, search, convert, find."""
+"""Command line: pack, keygen, verify, info, export, search, convert, serve, find."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pathlib import Path
 from .plans.convert import convert_folder
 from .plans.report import write_tree
 from .plans.search import Corpus
+from .plans.server import serve
 from .session import session
 from .sources import store
 
@@ -51,6 +52,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True)
     p.add_argument("--only", default="*")
     p.add_argument("--limit", type=int, help="the first files by path")
+    p = sub.add_parser("serve")
+    p.add_argument("folders", nargs="+", help="folders of Markdown documents, each a package")
     p = sub.add_parser("find")
     p.add_argument("phrases", nargs="+")
     p.add_argument("--output", required=True)
@@ -88,6 +91,8 @@ def main(argv: list[str] | None = None) -> int:
         corpus = Corpus(package["document"], package["passage"], language=header["language"])
         for row in corpus.query(args.query, args.limit, args.only, args.mode).collect():
             safe_print(f"{row['name']} ({row['source']}): {row['text']}")
+    elif args.command == "serve":
+        serve({Path(f).name: Corpus(store.load_documents(spark, f)) for f in args.folders}, sys.stdin, sys.stdout)
     elif args.command == "convert":
         table = f"{args.output.rstrip('/')}/_records"
         convert_folder(spark, args.input, args.only, limit=args.limit).write.mode("overwrite").parquet(table)

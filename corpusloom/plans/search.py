@@ -153,7 +153,10 @@ def tool_search(packages: Mapping[str, Corpus], query: str, limit: int = 5, dire
 
 def tool_info(packages: Mapping[str, Corpus]) -> dict:
     each = {name: p.info() for name, p in packages.items()}
-    return {"packages": each, "documents": sum(i["documents"] for i in each.values()), "passages": sum(i["passages"] for i in each.values())}
+    languages = sorted({i["language"] for i in each.values() if i["language"]})
+    # Only vectors find what a question in another language means.
+    crossing = {"languages": languages, "questions_in_any_language": bool(each) and all(p.vectors is not None and p.encoder is not None for p in packages.values())}
+    return {"packages": each, "documents": sum(i["documents"] for i in each.values()), "passages": sum(i["passages"] for i in each.values()), "cross_language": crossing}
 
 
 def tool_document(packages: Mapping[str, Corpus], name: str) -> dict:
