@@ -2,7 +2,8 @@
 
 A query has few terms, so nothing is exploded: each passage counts the query's
 terms in its token array, one aggregate gives the statistics (a single row),
-and only passages with a term go on to the windows.
+and only passages with a term go on to the windows. Of a passage without a
+term the statistics need the length alone.
 """
 
 from __future__ import annotations
@@ -21,22 +22,30 @@ DIGITS = 6
 
 def term_counts(terms: list[str]) -> Column:
     """array<int>: how often each term stands in column tokens."""
+    if not terms:
+        return F.array().cast("array<int>")
     names = F.array(*[F.lit(t) for t in terms])
     return let(F.filter("tokens", lambda t: t.isin(*terms)), lambda held: F.transform(names, lambda term: F.size(F.filter(held, lambda t: t == term))))
 
 
+def counted(tokens: DataFrame, terms: list[str]) -> DataFrame:
+    """What questions of these terms need of tokens: tf for norm and tokens, and the text only where a term stands."""
+    found = tokens.withColumn("tf", term_counts(terms))
+    return found.withColumn("text", F.when(F.exists("tf", lambda f: f > 0), F.col("text"))).drop("norm", "tokens")
+
+
 def scored(tokens: DataFrame, terms: list[str], minimum_terms: int = 1, empty_length: float = 1.0) -> DataFrame:
     """Passages that hold enough of the terms, with score and the terms that they hold.
 
-    tokens: as index.tokenized gives them; the statistics are those of all its rows.
+    tokens: as index.tokenized gives them, or counted for the same terms; the statistics are those of all its rows.
     """
-    counted = tokens.withColumn("tf", term_counts(terms) if terms else F.array().cast("array<int>"))
+    rows = tokens.withColumn("tf", term_counts(terms)) if "tokens" in tokens.columns else tokens
     sums = [F.coalesce(F.sum((F.col("tf")[k] > 0).cast("long")), F.lit(0)) for k in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(empty_length)).alias("average_length"), F.array(*sums).cast("array<double>").alias("df"))
+    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(empty_length)).alias("average_length"), F.array(*sums).cast("array<double>").alias("df"))
     idf = F.transform("df", lambda df: F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)))
     stats = stats.select("average_length", idf.alias("idf"))
     held = F.size(F.filter("tf", lambda f: f > 0))
-    hit = counted.filter((held >= min(minimum_terms, len(terms))) & (held > 0)).crossJoin(F.broadcast(stats))  # stats is one row
+    hit = rows.filter((held >= min(minimum_terms, len(terms))) & (held > 0)).crossJoin(F.broadcast(stats))  # stats is one row
     norm = K1 * (1 - B + B * F.greatest(F.col("length"), F.lit(1)) / F.col("average_length"))
     parts = F.zip_with("tf", "idf", lambda f, w: w * (f * (K1 + 1)) / (f + norm))
     names = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
