@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import apart
 
 # Limits of the verdicts.
 COVERAGE_OK, COVERAGE_WARN, USABLE = 0.995, 0.970, 0.60
@@ -29,29 +30,64 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({T.TOKEN})"), F.lit(1)), lambda t: F.lower(t))
 
 
+def _counts(reference: Column, markdown: Column) -> Column:
+    """array<struct<token, of_ref, n>>: the tokens of both texts, each once for each text."""
+    none = F.array().cast("array<struct<token:string,of_ref:boolean,n:bigint>>")
+    side = lambda text, of_ref: F.coalesce(F.transform(T.tally(words(text)), lambda t: F.struct(t["item"].alias("token"), F.lit(of_ref).alias("of_ref"), t["n"].alias("n"))), none)
+    return F.concat(side(reference, True), side(T.strip_markdown_noise(markdown), False))
+
+
+def _compared(counts: Column) -> Column:
+    """array<struct<token, ref, got>> for the tokens of the reference, inside the row."""
+    # Sorted, a token of both texts stands there twice, the reference's right after the other.
+    got = lambda b, x, k: T.let(F.get(b, k - 1), lambda y: F.when(y["token"] == x["token"], y["n"]).otherwise(F.lit(0).cast("long")))
+    of_ref = lambda b: F.transform(b, lambda x, k: F.when(x["of_ref"], F.struct(x["token"].alias("token"), x["n"].alias("ref"), got(b, x, k).alias("got"))))
+    return T.let(F.sort_array(counts), lambda b: F.array_compact(of_ref(b)))
+
+
+def _own(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("own", _compared(_counts(F.col("reference"), F.col("markdown"))))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    """(doc_id, own): the same over all rows of a doc_id, by a shuffle of their tokens."""
+    tokens = pairs.select("doc_id", F.explode(_counts(F.col("reference"), F.col("markdown"))).alias("t")).groupBy("doc_id", "t.token")
+    total = lambda of_ref: F.sum(F.when(F.col("t.of_ref") == of_ref, F.col("t.n")).otherwise(0))
+    found = tokens.agg(total(True).alias("ref"), total(False).alias("got")).filter("ref > 0")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("token", "ref", "got")).alias("own"))
+
+
 def deficits(pairs: DataFrame) -> DataFrame:
     """(doc_id, token, ref, got) for the tokens of the reference; pairs has doc_id, reference, markdown.
 
-    Both texts' tokens are counted in one aggregate, a document's in the task that holds it.
+    A document's texts are compared inside its row; only those of rows that share a doc_id, or have none, are shuffled.
     """
-    side = lambda text, of_ref: F.transform(words(text), lambda t: F.struct(t.alias("token"), F.lit(of_ref).alias("of_ref")))
-    none = F.array().cast("array<struct<token:string,of_ref:boolean>>")
-    both = F.concat(F.coalesce(side(F.col("reference"), True), none), F.coalesce(side(T.strip_markdown_noise(F.col("markdown")), False), none))
-    tokens = pairs.select("doc_id", F.explode(both).alias("t")).groupBy("doc_id", "t.token")
-    return tokens.agg(F.count_if("t.of_ref").alias("ref"), F.count_if(~F.col("t.of_ref")).alias("got")).filter("ref > 0")
+    alone, shared = apart(pairs, ("doc_id",))
+    found = _own(alone).select("doc_id", "own")
+    found = found if shared is None else found.unionByName(_summed(shared))
+    # Outer, then filtered: else the planner tests for empty arrays first, and makes each one twice.
+    return found.select("doc_id", F.inline_outer("own")).filter("ref > 0")
 
 
 def compare(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per doc_id: coverage, numeric coverage, token counts, status, the tokens most missing."""
-    least = F.least("ref", "got")
-    digit = F.col("token").rlike(r"\p{Nd}")
-    lacking = F.sort_array(F.collect_list(F.when(F.col("got") < F.col("ref"), F.struct((F.col("ref") - F.col("got")).alias("d"), F.col("token").alias("t")))), asc=False)
-    found = deficits(pairs).groupBy("doc_id").agg(
-        F.sum("ref").alias("ref_tokens"), F.sum(least).alias("matched"), F.sum(F.when(digit, F.col("ref"))).alias("num_ref"), F.sum(F.when(digit, least)).alias("num_matched"),
-        F.transform(F.slice(lacking, 1, sample), lambda x: x["t"]).alias("missing_sample"),
+    """One row for each of pairs: coverage, numeric coverage, token counts, status, the tokens most missing.
+
+    Rows that share a doc_id get the figures of all of them but md_tokens.
+    """
+    produced = lambda df: df.withColumn("md_tokens", F.size(words(T.strip_markdown_noise(F.col("markdown")))).cast("long"))
+    alone, shared = apart(pairs, ("doc_id",))
+    found = produced(_own(alone)).select("doc_id", "md_tokens", "own")
+    if shared is not None:
+        found = found.unionByName(produced(shared).select("doc_id", "md_tokens").join(_summed(shared), "doc_id", "left"))
+    numbers = F.filter("own", lambda x: x["token"].rlike(r"\p{Nd}"))
+    total = lambda own, n: F.when(F.size(own) > 0, F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + n(x)))
+    ref, least = lambda x: x["ref"], lambda x: F.least(x["ref"], x["got"])
+    lacking = F.transform(F.filter("own", lambda x: x["got"] < x["ref"]), lambda x: F.struct((x["ref"] - x["got"]).alias("d"), x["token"].alias("t")))
+    both = found.select(
+        "doc_id", "md_tokens", F.coalesce(total(F.col("own"), ref), F.lit(0)).alias("ref_tokens"), total(F.col("own"), least).alias("matched"),
+        T.let(numbers, lambda own: total(own, ref)).alias("num_ref"), T.let(numbers, lambda own: total(own, least)).alias("num_matched"),
+        F.transform(F.slice(F.sort_array(lacking, asc=False), 1, sample), lambda x: x["t"]).alias("missing_sample"),
     )
-    produced = pairs.select("doc_id", F.size(words(T.strip_markdown_noise(F.col("markdown")))).cast("long").alias("md_tokens"))
-    both = produced.join(found, "doc_id", "left").withColumn("ref_tokens", F.coalesce("ref_tokens", F.lit(0)))
     both = both.withColumn("measurable", F.col("ref_tokens") > 0).withColumn("coverage", F.round(F.col("matched") / F.col("ref_tokens"), DIGITS))
     both = both.withColumn("numeric_coverage", F.round(F.col("num_matched") / F.col("num_ref"), DIGITS)).withColumn("missing_tokens", F.col("ref_tokens") - F.coalesce("matched", F.lit(0)))
     return both.withColumn("status", status(F.col("coverage"), F.col("numeric_coverage"))).select(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that hold at any size; partition sizes are the cluster's business.
 SETTINGS = {
@@ -46,3 +49,23 @@ def stored(spark: SparkSession, key: tuple[str, ...], make) -> DataFrame:
         make().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
+
+
+#: Keys, of a few bytes each, that may be broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def apart(df: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """df's rows whose keys no other row has, and the rest: keys of several rows, or null; None if there are none.
+
+    Only the keys are counted, in a job of their own; the rest of a row isn't shuffled as long as few keys are shared.
+    """
+    whole = [F.col(k).isNotNull() for k in keys]
+    known = reduce(and_, whole)
+    shared = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("_rows")).filter((F.col("_rows") > 1) | ~known).select(*keys)
+    found = shared.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return df, None
+    rows = shared.filter(known)
+    rows = F.broadcast(rows) if found <= BROADCAST_KEYS else rows
+    return df.filter(known).join(rows, list(keys), "left_anti"), df.filter(known).join(rows, list(keys), "left_semi").unionByName(df.filter(~known))
