@@ -53,18 +53,35 @@ def _summed(pairs: DataFrame) -> DataFrame:
     """(doc_id, own): the same over all rows of a doc_id, by a shuffle of their tokens."""
     tokens = pairs.select("doc_id", F.explode(_counts(F.col("reference"), F.col("markdown"))).alias("t")).groupBy("doc_id", "t.token")
     total = lambda of_ref: F.sum(F.when(F.col("t.of_ref") == of_ref, F.col("t.n")).otherwise(0))
-    found = tokens.agg(total(True).alias("ref"), total(False).alias("got")).filter("ref > 0")
+    # Without an id nothing tells which conversion is a text's, so none is.
+    got = F.when(F.col("doc_id").isNotNull(), total(False)).otherwise(0)
+    found = tokens.agg(total(True).alias("ref"), got.alias("got")).filter("ref > 0")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("token", "ref", "got")).alias("own"))
 
 
-def deficits(pairs: DataFrame) -> DataFrame:
-    """(doc_id, token, ref, got) for the tokens of the reference; pairs has doc_id, reference, markdown.
+def _by_id(pairs: DataFrame) -> DataFrame:
+    """(doc_id, own), one row for each doc_id.
 
     A document's texts are compared inside its row; only those of rows that share a doc_id, or have none, are shuffled.
     """
     alone, shared = apart(pairs, ("doc_id",))
     found = _own(alone).select("doc_id", "own")
-    found = found if shared is None else found.unionByName(_summed(shared))
+    return found if shared is None else found.unionByName(_summed(shared))
+
+
+def _most_missing(own: Column, sample: int) -> Column:
+    lacking = F.transform(F.filter(own, lambda x: x["got"] < x["ref"]), lambda x: F.struct((x["ref"] - x["got"]).alias("d"), x["token"].alias("t")))
+    return F.transform(F.slice(F.sort_array(lacking, asc=False), 1, sample), lambda x: x["t"])
+
+
+def missing(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, missing_sample): the tokens most missing, one row for each doc_id."""
+    return _by_id(pairs).select("doc_id", _most_missing(F.col("own"), sample).alias("missing_sample"))
+
+
+def deficits(pairs: DataFrame) -> DataFrame:
+    """(doc_id, token, ref, got) for the tokens of the reference; pairs has doc_id, reference, markdown."""
+    found = _by_id(pairs)
     # Outer, then filtered: else the planner tests for empty arrays first, and makes each one twice.
     return found.select("doc_id", F.inline_outer("own")).filter("ref > 0")
 
@@ -82,11 +99,10 @@ def compare(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     numbers = F.filter("own", lambda x: x["token"].rlike(r"\p{Nd}"))
     total = lambda own, n: F.when(F.size(own) > 0, F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + n(x)))
     ref, least = lambda x: x["ref"], lambda x: F.least(x["ref"], x["got"])
-    lacking = F.transform(F.filter("own", lambda x: x["got"] < x["ref"]), lambda x: F.struct((x["ref"] - x["got"]).alias("d"), x["token"].alias("t")))
     both = found.select(
         "doc_id", "md_tokens", F.coalesce(total(F.col("own"), ref), F.lit(0)).alias("ref_tokens"), total(F.col("own"), least).alias("matched"),
         T.let(numbers, lambda own: total(own, ref)).alias("num_ref"), T.let(numbers, lambda own: total(own, least)).alias("num_matched"),
-        F.transform(F.slice(F.sort_array(lacking, asc=False), 1, sample), lambda x: x["t"]).alias("missing_sample"),
+        _most_missing(F.col("own"), sample).alias("missing_sample"),
     )
     both = both.withColumn("measurable", F.col("ref_tokens") > 0).withColumn("coverage", F.round(F.col("matched") / F.col("ref_tokens"), DIGITS))
     both = both.withColumn("numeric_coverage", F.round(F.col("num_matched") / F.col("num_ref"), DIGITS)).withColumn("missing_tokens", F.col("ref_tokens") - F.coalesce("matched", F.lit(0)))
