@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import apart
 
 
 def passages(docs: DataFrame, splitter: str = "blank_line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,8 +23,18 @@ def tokenized(parts: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, position, tf, length): one row for each term of each passage."""
-    return tokens.select("doc_id", "position", "length", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "position", "length").agg(F.count("*").alias("tf"))
+    """(term, doc_id, position, tf, length): one row for each term of each passage, counted inside the passage's row.
+
+    Only passages that share doc_id and position, or lack one, are counted by a shuffle, as one passage each; length is that of the longest.
+    """
+    alone, shared = apart(tokens.select("doc_id", "position", "length", "tokens"), ("doc_id", "position"))
+    # Outer, then filtered: else the planner tests for empty arrays first, and counts each passage twice.
+    found = alone.select("doc_id", "position", "length", F.inline_outer(T.tally(F.col("tokens")))).filter("n > 0")
+    found = found.select(F.col("item").alias("term"), "doc_id", "position", F.col("n").alias("tf"), "length")
+    if shared is None:
+        return found
+    counted = shared.select("doc_id", "position", "length", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "position").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    return found.unionByName(counted)
 
 
 def term_frequencies(tokens: DataFrame, minimum: int = 3) -> DataFrame:
